@@ -1,9 +1,9 @@
 """Problem 6: has this key been seen before?
 
-Filter, then verify. The filter is a byte array over hashed keys that gives each arrival the answer a Bloom
-filter fed in order of arrival would give, though it is built in parallel: a slot keeps the first epoch (one
-of 63 equal stretches of the order) in which any key touched it, and whether it was touched again in that
-epoch or later. An arrival with a slot not touched before its own epoch is new and decided at once. Of these,
+Filter, then verify. The filter is an array over hashed keys that gives each arrival the answer a Bloom filter
+fed in order of arrival would give, though it is built in parallel: a slot keeps the first epoch (one of 16,382
+equal stretches of the order) in which any key touched it, and whether it was touched again in that epoch or
+later. An arrival with a slot not touched before its own epoch is new and decided at once. Of these,
 an arrival with a slot nobody else ever touched is done with; any other is kept as a witness. The rest go,
 with their full keys, to an exact lookup on disk, and each one disproved there is counted as a wrong answer
 of the filter.
@@ -24,10 +24,10 @@ from quern.plans.runtime import materialize
 
 #: Most bytes of the broadcast filter. Beyond it more arrivals are verified; answers don't change.
 FILTER_BYTES = 1 << 25
-EPOCHS = 63
+EPOCHS = 16_383
 KEY_BYTES = 32
-#: Slot byte: epoch * 4 + 2 (touched again within that epoch) + 1 (touched more than once at all).
-_UNTOUCHED = 255
+#: Slot: epoch * 4 + 2 (touched again within that epoch) + 1 (touched more than once at all), in 16 bits.
+_UNTOUCHED = 65_535
 
 _CLASSES = ("unique", "new", "positive", "repeat")
 
@@ -45,12 +45,12 @@ def _merge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Slots touched by either; order of merging doesn't matter."""
     ex, ey = x >> 2, y >> 2
     both = (x != _UNTOUCHED) & (y != _UNTOUCHED)
-    return np.where(both, np.where(ex == ey, (x & 0xFC) | 3, np.where(ex < ey, x, y) | 1), np.minimum(x, y)).astype(np.uint8)
+    return np.where(both, np.where(ex == ey, (x & 0xFFFC) | 3, np.where(ex < ey, x, y) | 1), np.minimum(x, y)).astype(np.uint16)
 
 
 def _epoch(order: np.ndarray, low: int, span: int) -> np.ndarray:
     """0 is kept for keys known before the first arrival."""
-    return np.where(order < low, 0, 1 + (order - low) * (EPOCHS - 2) // max(1, span)).astype(np.uint8)
+    return np.where(order < low, 0, 1 + (order - low) * (EPOCHS - 2) // max(1, span)).astype(np.uint16)
 
 
 def _touch(slots: np.ndarray, epochs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +65,7 @@ def _touch(slots: np.ndarray, epochs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     second = np.zeros(len(start), bool)
     many = size > 1
     second[many] = again[start[many] + 1]
-    return s[start], (e[start] * 4 + 2 * second + many).astype(np.uint8)
+    return s[start], (e[start] * 4 + 2 * second + many).astype(np.uint16)
 
 
 def _classify(shared, low: int, span: int):
@@ -110,7 +110,7 @@ def decide(arrivals: DataFrame, known: DataFrame | None = None, *, filter_bytes:
     if known is not None:
         before = known.where(F.octet_length("key") == KEY_BYTES).select("key").distinct()
         everything = rows.unionByName(before.select(F.lit(low - 1).alias("row_id"), "key"))
-    size = sketch.power_of_two(6 * n, sketch.SEGMENT, filter_bytes)
+    size = sketch.power_of_two(3 * n, sketch.SEGMENT, filter_bytes // 2)
 
     def update(own: np.ndarray, b: pa.RecordBatch) -> None:
         epochs = _epoch(b.column(0).to_numpy(), low, span)
@@ -118,7 +118,7 @@ def decide(arrivals: DataFrame, known: DataFrame | None = None, *, filter_bytes:
             where, value = _touch(at, epochs)
             own[where] = _merge(own[where], value)
 
-    slots = spark.sparkContext.broadcast(sketch.build(everything, size, update, _merge, _UNTOUCHED))
+    slots = spark.sparkContext.broadcast(sketch.build(everything, size, update, _merge, _UNTOUCHED, np.uint16))
     sorted_out = materialize(everything.mapInArrow(_classify(slots, low, span), "row_id bigint, key binary, kind tinyint"), f"{label}-classes")
     decided = sorted_out.where((F.col("kind").isin(0, 3)) & (F.col("row_id") >= low)).select("row_id", (F.col("kind") == 3).alias("filter_seen"), (F.col("kind") == 3).alias("seen"))
     # a key comes here at most once a batch, so no group is large however often a key repeats

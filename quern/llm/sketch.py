@@ -1,6 +1,6 @@
 """Bounded summaries that Python operators probe while they scan.
 
-All are fixed-size arrays of bytes cut into segments; partial arrays of the tasks are merged segment by
+All are fixed-size arrays of small integers cut into segments; partial arrays of the tasks are merged segment by
 segment in Spark, and only the merged array, whose size is capped by a parameter, comes to the driver.
 """
 
@@ -21,12 +21,12 @@ def power_of_two(n: int, least: int, most: int) -> int:
     return max(least, min(most, 1 << max(0, int(n) - 1).bit_length()))
 
 
-def _merge_segments(merge: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+def _merge_segments(merge: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.frombuffer(v, np.uint8)
+                x = np.frombuffer(v, kind)
                 held[k] = merge(held[k], x) if k in held else x
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["segment", "bytes"])
@@ -34,15 +34,15 @@ def _merge_segments(merge: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     return run
 
 
-def build(df: DataFrame, size: int, update: Callable[[np.ndarray, pa.RecordBatch], None], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], empty: int = 0) -> np.ndarray:
-    """Fold the rows of ``df`` into one byte array of ``size``.
+def build(df: DataFrame, size: int, update: Callable[[np.ndarray, pa.RecordBatch], None], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], empty: int = 0, kind: type = np.uint8) -> np.ndarray:
+    """Fold the rows of ``df`` into one array of ``size`` cells.
 
     ``update`` adds a record batch to a task's array in place, ``merge`` joins two arrays; ``empty`` is the
-    byte of an untouched slot. Segments nobody touched aren't sent.
+    value of an untouched cell. Segments nobody touched aren't sent.
     """
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = np.full(size, empty, np.uint8), False
+        own, seen = np.full(size, empty, kind), False
         for b in batches:
             if b.num_rows:
                 update(own, b)
@@ -55,10 +55,10 @@ def build(df: DataFrame, size: int, update: Callable[[np.ndarray, pa.RecordBatch
 
     schema = "segment int, bytes binary"
     parts = df.coalesce(BUILDERS).mapInArrow(partial, schema)
-    merged = parts.repartition(min(8, max(1, size // SEGMENT)), "segment").mapInArrow(_merge_segments(merge), schema)
-    out = np.full(size, empty, np.uint8)
-    for row in merged.collect():  # at most ``size`` bytes
-        out[row.segment * SEGMENT : row.segment * SEGMENT + len(row.bytes)] = np.frombuffer(row.bytes, np.uint8)
+    merged = parts.repartition(min(8, max(1, size // SEGMENT)), "segment").mapInArrow(_merge_segments(merge, kind), schema)
+    out = np.full(size, empty, kind)
+    for row in merged.toLocalIterator():  # together ``size`` cells
+        out[row.segment * SEGMENT :][: SEGMENT] = np.frombuffer(row.bytes, kind)
     return out
 
 

@@ -34,7 +34,7 @@ class Splitter:
         """Take a text; its tokens."""
         self.words = self._encoder.split(text)
         self.tokens = [0, *accumulate(map(self._count, self.words))]  # at the start of each word, and at the end
-        self.chars = None
+        self.chars, self._inner = None, {}
         return self.tokens[-1]
 
     def _prepare(self) -> None:
@@ -51,18 +51,22 @@ class Splitter:
         self.strong = strong
         self.strong_tokens = [self.tokens[k] for k in strong]
 
-    def _inside(self, word: int) -> list[tuple[int, int]]:
-        """(token, char) offsets within a word, both ends included, at which a character begins."""
+    def _inside(self, word: int) -> tuple[list[int], list[int]]:
+        """Token and character offsets within a word, both ends included, at which a character begins."""
+        if word in self._inner:
+            return self._inner[word]
         text = self.words[word]
         at_byte, b = {0: 0}, 0
         for k, c in enumerate(text):
             b += len(c.encode("utf-8", "surrogatepass"))
             at_byte[b] = k + 1
-        out, b = [(0, 0)], 0
+        out, b = ([0], [0]), 0
         for t, n in enumerate(self._encoder.lengths(text)):
             b += n
             if b in at_byte:
-                out.append((t + 1, at_byte[b]))
+                out[0].append(t + 1)
+                out[1].append(at_byte[b])
+        self._inner[word] = out
         return out
 
     def _at_or_before(self, token: int) -> tuple[int, int]:
@@ -70,8 +74,9 @@ class Splitter:
         w = bisect_right(self.tokens, token) - 1
         if self.tokens[w] == token or w == len(self.words):
             return self.tokens[w], self.chars[w]
-        t, c = max(x for x in self._inside(w) if x[0] <= token - self.tokens[w])
-        return self.tokens[w] + t, self.chars[w] + c
+        inner, chars = self._inside(w)
+        k = bisect_right(inner, token - self.tokens[w]) - 1
+        return self.tokens[w] + inner[k], self.chars[w] + chars[k]
 
     def cut(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
         """(start token, end token, start char, end char, kind of cut) of each piece."""
@@ -84,8 +89,9 @@ class Splitter:
             if total - start <= limit:
                 out.append((start, total, start_char, self.chars[-1], "end"))
                 return out
+            least = max(done, start + overlap)  # a piece must reach beyond the last one, and beyond where the next begins
             k = bisect_right(self.strong_tokens, start + limit) - 1
-            if k >= 0 and self.strong_tokens[k] > max(start + limit // 2, done):
+            if k >= 0 and self.strong_tokens[k] > max(start + limit // 2, least):
                 w, kind = self.strong[k], "sentence"
                 if "\n" in self.words[w - 1] or "\r" in self.words[w - 1]:
                     kind = "line"
@@ -93,14 +99,16 @@ class Splitter:
             else:
                 w, kind = bisect_right(self.tokens, start + limit) - 1, "word"
                 end, end_char = self.tokens[w], self.chars[w]
-                if end <= done:
+                if end <= least:
                     (end, end_char), kind = self._at_or_before(start + limit), "hard"
-                if end <= done:  # one character is larger than what the limit leaves beside the overlap
-                    end, end_char, kind = done, out[-1][3] if out else 0, "char"
-                    w = bisect_right(self.tokens, done) - 1
-                    t, c = min(x for x in self._inside(w) if self.tokens[w] + x[0] > done)
-                    end, end_char = self.tokens[w] + t, self.chars[w] + c
+                if end <= least:  # one character is larger than what the limit leaves beside the overlap
+                    kind, w = "char", bisect_right(self.tokens, least) - 1
+                    inner, chars = self._inside(w)
+                    at = bisect_right(inner, least - self.tokens[w])
+                    end, end_char = self.tokens[w] + inner[at], self.chars[w] + chars[at]
             out.append((start, end, start_char, end_char, kind))
+            if end == total:
+                return out
             done = end
             start, start_char = self._at_or_before(end - overlap) if overlap else (end, end_char)
 
