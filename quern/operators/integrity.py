@@ -28,7 +28,7 @@ def share(c: Column) -> Column:
 def manifest(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(path, bytes, sha256) of each file below a folder, hashed where it is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = F.lit(os.path.abspath(folder).rstrip("/") + "/")
+    root = os.path.abspath(folder).rstrip("/") + "/" if "://" not in folder else folder.rstrip("/") + "/"
     path = F.substring_index(F.col("path"), root, -1)
     return files.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("path").isin(*exclude) if exclude else F.lit(True))
 

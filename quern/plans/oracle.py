@@ -137,9 +137,9 @@ def oracle_sql() -> dict[str, str]:
         "byte_budget_prefix": f"""WITH {CORPUS}, run AS (SELECT split, doc_id, strlen(text) AS n_bytes, CAST(sum(strlen(text)) OVER (PARTITION BY split ORDER BY ordinal, doc_id) - strlen(text) AS BIGINT) AS bytes_before FROM identified)
           SELECT * FROM run WHERE bytes_before < CASE split WHEN 'train' THEN 100000 ELSE 5000 END""",
         "token_budget_prefix": f"""WITH {CORPUS}, run AS (SELECT doc_id, len(string_split(text, ' ')) + 1 AS stored, CAST(sum(len(string_split(text, ' ')) + 1) OVER (ORDER BY ordinal, doc_id) AS BIGINT) AS upto FROM identified WHERE split = 'train')
-          SELECT doc_id, stored, upto - stored AS stored_before FROM run WHERE upto - stored < 20001""",
+          SELECT doc_id, stored, upto - stored AS stored_before FROM run WHERE upto - stored < 5001""",
         "capped_token_prefix": f"""WITH {CORPUS}, run AS (SELECT doc_id, len(string_split(text, ' ')) + 1 AS stored, CAST(sum(len(string_split(text, ' ')) + 1) OVER (ORDER BY ordinal, doc_id) AS BIGINT) AS upto FROM identified WHERE split = 'train')
-          SELECT doc_id, least(stored, 14849 - (upto - stored)) AS kept, upto - stored AS stored_before FROM run WHERE upto - stored < 14849""",
+          SELECT doc_id, least(stored, 3585 - (upto - stored)) AS kept, upto - stored AS stored_before FROM run WHERE upto - stored < 3585""",
         "mixture_order": f"WITH RECURSIVE {MIXTURE} SELECT src, doc AS doc_id, off, n FROM fold WHERE kind = 'kept'",
         "mixture_accounting": f"""WITH RECURSIVE {MIXTURE} SELECT src, CAST(sum(n) AS BIGINT) AS stored_ids, CAST(sum(n) - count(*) FILTER (kind = 'kept' AND off = 0) AS BIGINT) AS prediction_ids, count(*) FILTER (kind = 'kept') AS documents,
           count(*) FILTER (kind = 'intra') AS intra_skips, count(*) FILTER (kind = 'cross') AS cross_skips FROM fold WHERE it > 0 GROUP BY src""",

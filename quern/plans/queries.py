@@ -198,12 +198,12 @@ def _train_lengths(spark, d):
 
 @query
 def token_budget_prefix(spark, d):
-    return C.token_budget(_train_lengths(spark, d), 20_000).select("doc_id", "stored", "stored_before")
+    return C.token_budget(_train_lengths(spark, d), 5_000).select("doc_id", "stored", "stored_before")
 
 
 @query
 def capped_token_prefix(spark, d):
-    return C.capped_tokens(_train_lengths(spark, d), 15_000).select("doc_id", "kept", "stored_before")
+    return C.capped_tokens(_train_lengths(spark, d), 4_000).select("doc_id", "kept", "stored_before")
 
 
 # --- mixture
