@@ -118,7 +118,7 @@ def decide(arrivals: DataFrame, known: DataFrame | None = None, *, filter_bytes:
             where, value = _touch(at, epochs)
             own[where] = _merge(own[where], value)
 
-    slots = spark.sparkContext.broadcast(sketch.build(everything, size, update, _merge, _UNTOUCHED, np.uint16))
+    slots = spark.sparkContext.broadcast(sketch.build(everything, size, (KEY_BYTES + 8) * n, update, _merge, _UNTOUCHED, np.uint16))
     sorted_out = materialize(everything.mapInArrow(_classify(slots, low, span), "row_id bigint, key binary, kind tinyint"), f"{label}-classes")
     decided = sorted_out.where((F.col("kind").isin(0, 3)) & (F.col("row_id") >= low)).select("row_id", (F.col("kind") == 3).alias("filter_seen"), (F.col("kind") == 3).alias("seen"))
     # a key comes here at most once a batch, so no group is large however often a key repeats

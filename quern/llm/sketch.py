@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SEGMENT = 1 << 16
-#: Tasks that build partial arrays at once; each holds one array, so this bounds what is shuffled.
-BUILDERS = 24
 
 
 def power_of_two(n: int, least: int, most: int) -> int:
@@ -34,12 +32,14 @@ def _merge_segments(merge: Callable[[np.ndarray, np.ndarray], np.ndarray], kind:
     return run
 
 
-def build(df: DataFrame, size: int, update: Callable[[np.ndarray, pa.RecordBatch], None], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], empty: int = 0, kind: type = np.uint8) -> np.ndarray:
-    """Fold the rows of ``df`` into one array of ``size`` cells.
+def build(df: DataFrame, size: int, key_bytes: int, update: Callable[[np.ndarray, pa.RecordBatch], None], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], empty: int = 0, kind: type = np.uint8) -> np.ndarray:
+    """Fold the rows of ``df``, of about ``key_bytes`` together, into one array of ``size`` cells.
 
     ``update`` adds a record batch to a task's array in place, ``merge`` joins two arrays; ``empty`` is the
-    value of an untouched cell. Segments nobody touched aren't sent.
+    value of an untouched cell. Segments nobody touched aren't sent, and no more tasks build arrays than the
+    keys themselves have the bytes of, so that merging never moves more than the keys.
     """
+    builders = max(1, key_bytes // (size * np.dtype(kind).itemsize))
 
     def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = np.full(size, empty, kind), False
@@ -54,8 +54,8 @@ def build(df: DataFrame, size: int, update: Callable[[np.ndarray, pa.RecordBatch
                     yield pa.RecordBatch.from_arrays([pa.array([k // SEGMENT], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["segment", "bytes"])
 
     schema = "segment int, bytes binary"
-    parts = df.coalesce(BUILDERS).mapInArrow(partial, schema)
-    merged = parts.repartition(min(8, max(1, size // SEGMENT)), "segment").mapInArrow(_merge_segments(merge, kind), schema)
+    parts = df.coalesce(builders).mapInArrow(partial, schema)
+    merged = parts.repartition(max(1, min(200, builders, size // SEGMENT)), "segment").mapInArrow(_merge_segments(merge, kind), schema)
     out = np.full(size, empty, kind)
     for row in merged.toLocalIterator():  # together ``size`` cells
         out[row.segment * SEGMENT :][: SEGMENT] = np.frombuffer(row.bytes, kind)
@@ -91,7 +91,7 @@ class CountSketch:
                 where += row * width
                 own[where] = np.minimum(own[where].astype(np.int64) + n, 255).astype(np.uint8)
 
-        return cls(build(df, 2 * width, update, lambda x, y: np.minimum(x.astype(np.uint16) + y, 255).astype(np.uint8)))
+        return cls(build(df, 2 * width, 8 * keys, update, lambda x, y: np.minimum(x.astype(np.uint16) + y, 255).astype(np.uint8)))
 
     def estimate(self, hashes: np.ndarray) -> np.ndarray:
         a, b = _slots(hashes, self.width)
@@ -112,7 +112,7 @@ class Membership:
             for at in _slots(hashes_of(b), size * 8):
                 np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-        return cls(build(df, size, update, np.bitwise_or))
+        return cls(build(df, size, 8 * keys, update, np.bitwise_or))
 
     def might_contain(self, hashes: np.ndarray) -> np.ndarray:
         a, b = _slots(hashes, len(self.bits) * 8)
