@@ -36,7 +36,8 @@ def is_text(text: Column) -> Column:
 
 def canonical_text(text: Column) -> Column:
     """NFC with every line break as a line feed. Characters below U+0300 are never changed by NFC."""
-    composed = F.when(text.rlike(r"[^\x00-˿]"), F.pandas_udf(_nfc, "string")(text)).otherwise(text)
+    # the others cross to Python as nulls, for Spark feeds a UDF every row whatever stands around it
+    composed = F.coalesce(F.pandas_udf(_nfc, "string")(F.when(text.rlike(r"[^\x00-˿]"), text)), text)
     return F.regexp_replace(composed, r"\r\n?", "\n")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.prefix import running_total
@@ -29,30 +29,28 @@ def _keyed(rows: DataFrame, scale: tuple[int, int]) -> DataFrame:
 
 
 def merge(rows: DataFrame, targets: tuple[int, int]) -> DataFrame:
-    """(src 0 or 1, ordinal, doc_id, document_id, n_tokens) -> the same with stored, kept, key and owner.
+    """(src 0 or 1, ordinal, doc_id, document_id, n_tokens) -> the first row of each document in each source, with stored, kept, key and owner.
 
     ``kept`` rows, in the order (key, src, ordinal, doc_id), are the mixture. (src, ordinal, doc_id) must be unique.
+    Later copies take no part, however many a document has.
     """
     g = gcd(*targets)
     scale = (targets[1] // g, targets[0] // g)
-    own = rows.select("src", "ordinal", "doc_id", "document_id", (F.col("n_tokens") + 1).cast("bigint").alias("stored"))
     place = F.struct("ordinal", "doc_id")
-    firsts = own.groupBy("document_id", "src").agg(F.min(place).alias("first"))
-    sides = materialize(firsts.groupBy("document_id").agg(F.count(F.lit(1)).alias("sources"), F.min("src").alias("one")), "mixture-sides")
-    marked = own.join(firsts, ["document_id", "src"]).withColumn("is_first", place == F.col("first")).drop("first").join(sides, "document_id")
-    marked = materialize(marked.withColumn("shared", F.col("sources") == 2).drop("sources"), "mixture-rows")
-    owners = materialize(sides.where("sources = 2").select("document_id", F.lit(None).cast("int").alias("owner")), "mixture-owners")
+    firsts = rows.groupBy("document_id", "src").agg(F.min(place).alias("place"), F.min_by((F.col("n_tokens") + 1).cast("bigint"), place).alias("stored"))
+    sides = firsts.groupBy("document_id").agg((F.count(F.lit(1)) == 2).alias("shared"))
+    marked = materialize(firsts.join(sides, "document_id").select("src", "place.ordinal", "place.doc_id", "document_id", "stored", "shared"), "mixture-rows")
+    owners = materialize(marked.where("shared").select("document_id", F.lit(None).cast("int").alias("owner")).distinct(), "mixture-owners")
     for _ in range(MOST_ROUNDS):
         # a shared document without an owner yet counts for both
-        now = marked.join(owners, "document_id", "left").withColumn("owner", F.when(F.col("shared"), F.col("owner")).otherwise(F.col("one")))
-        now = now.withColumn("kept", F.col("is_first") & (F.col("owner").isNull() | (F.col("owner") == F.col("src"))))
-        keyed = _keyed(now, scale)
-        won = keyed.where(F.col("shared") & F.col("is_first")).groupBy("document_id").agg(F.min(F.struct("key", "src")).alias("w")).select("document_id", F.col("w.src").alias("owner"))
+        now = marked.join(owners, "document_id", "left").withColumn("owner", F.when(F.col("shared"), F.col("owner")).otherwise(F.col("src")))
+        keyed = _keyed(now.withColumn("kept", F.col("owner").isNull() | (F.col("owner") == F.col("src"))), scale)
+        won = keyed.where("shared").groupBy("document_id").agg(F.min(F.struct("key", "src")).alias("w")).select("document_id", F.col("w.src").alias("owner"))
         won = materialize(won, "mixture-owners")
         changed = not won.join(owners.withColumnRenamed("owner", "was"), "document_id").where(~F.col("owner").eqNullSafe(F.col("was"))).isEmpty()
         owners = won
         if not changed:
-            return keyed.select("src", "ordinal", "doc_id", "document_id", "stored", "kept", "key", "owner")
+            return keyed
     raise RuntimeError("ownership did not settle")
 
 
@@ -78,19 +76,22 @@ def exhausted(merged: DataFrame, emitted: DataFrame, targets: tuple[int, int]) -
     return end.crossJoin(F.broadcast(last)).where(F.struct("key", "src") < F.col("last")).select("src")
 
 
-def accounting(merged: DataFrame, emitted: DataFrame) -> DataFrame:
+def accounting(rows: DataFrame, merged: DataFrame, emitted: DataFrame) -> DataFrame:
     """By source: stored and prediction ids, documents, and rows skipped as copies from the source itself or the other.
 
-    A skipped row counts only if it was drawn, that is if it stands before the last emitted document.
+    ``rows`` are those the mixture was made of. A row was drawn if it doesn't stand behind the last emitted
+    document of its source; of the drawn, those not emitted were skipped, for the source that owns the document.
     """
-    last = emitted.agg(F.max(F.struct("key", "src", "ordinal", "doc_id")).alias("last"))
-    drawn = merged.where(~F.col("kept")).crossJoin(F.broadcast(last)).where(F.struct("key", "src", "ordinal", "doc_id") < F.col("last"))
-    skips = drawn.groupBy("src").agg(F.count_if(F.col("owner") == F.col("src")).alias("intra_skips"), F.count_if(F.col("owner") != F.col("src")).alias("cross_skips"))
+    place = F.struct("ordinal", "doc_id")
+    last = emitted.groupBy("src").agg(F.max(place).alias("last"))
+    drawn = rows.join(F.broadcast(last), "src").where(place <= F.col("last")).groupBy("src", "document_id").agg(F.count(F.lit(1)).alias("times"))
+    lost = merged.where(~F.col("kept")).select("src", "document_id", F.lit(True).alias("lost"))
+    by = drawn.join(lost, ["src", "document_id"], "left").groupBy("src").agg(F.sum("times").alias("rows"), F.coalesce(F.sum(F.when(F.col("lost"), F.col("times"))), F.lit(0)).alias("cross_skips"))
     used = emitted.groupBy("src").agg(F.sum("n").alias("stored_ids"), (F.sum("n") - F.count_if(F.col("off") == 0)).alias("prediction_ids"), F.count(F.lit(1)).alias("documents"))
-    return used.join(skips, "src", "left").na.fill(0, ["intra_skips", "cross_skips"])
+    return used.join(by, "src").withColumn("intra_skips", F.col("rows") - F.col("documents") - F.col("cross_skips")).drop("rows")
 
 
 def first_in_source(rows: DataFrame) -> DataFrame:
-    """Rows that are the first of their document_id within their source."""
-    w = Window.partitionBy("source", "document_id").orderBy("ordinal", "doc_id")
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """Rows that are the first of their document_id within their source; combined before they are shuffled, so a document with many copies is no burden."""
+    first = F.min_by(F.struct(*[c for c in rows.columns if c not in ("source", "document_id")]), F.struct("ordinal", "doc_id"))
+    return rows.groupBy("source", "document_id").agg(first.alias("_x")).select("source", "document_id", "_x.*")

@@ -70,9 +70,9 @@ def decisions(documents: DataFrame, index: DataFrame, **options) -> DataFrame:
     return out.select("id", F.col("overlap_count").isNotNull().alias("rejected"), F.coalesce("overlap_count", F.lit(0)).alias("overlap_count"), F.coalesce("overlap_hashes", F.array().cast("array<string>")).alias("overlap_hashes"))
 
 
-def screened(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Corpus rows with ``rejected``; rows need a unique doc_id and text."""
-    bad = overlaps(rows.select("doc_id", "text"), index).select(F.col("id").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
+def screened(rows: DataFrame, texts: DataFrame, index: DataFrame) -> DataFrame:
+    """``rows`` with ``rejected``; ``texts`` has their (doc_id, text). Rows should be slim: they are joined on doc_id, which must be unique."""
+    bad = overlaps(texts.select("doc_id", "text"), index).select(F.col("id").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
     return rows.join(bad, "doc_id", "left").withColumn("rejected", F.coalesce("hit", F.lit(False))).drop("hit")
 
 

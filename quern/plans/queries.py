@@ -135,7 +135,9 @@ def contamination_decisions(spark, d):
 
 
 def _screened(spark, d):
-    return X.screened(_identified(spark, d), _index(spark, d))
+    rows = _identified(spark, d)
+    slim = rows.withColumn("n_tokens", _n_words(F.col("text"))).drop("text")
+    return X.screened(slim, rows, _index(spark, d))
 
 
 @query
@@ -211,7 +213,7 @@ def capped_token_prefix(spark, d):
 
 def _mixture_rows(spark, d):
     rows = _screened(spark, d).where(F.col("source").isin(*SOURCES) & ~F.col("rejected") & (F.col("split") == "train"))
-    slim = rows.select(F.when(F.col("source") == SOURCES[0], 0).otherwise(1).alias("src"), "ordinal", "doc_id", "document_id", _n_words(F.col("text")).alias("n_tokens"))
+    slim = rows.select(F.when(F.col("source") == SOURCES[0], 0).otherwise(1).alias("src"), "ordinal", "doc_id", "document_id", "n_tokens")
     return materialize(slim, "mixture-input")
 
 
@@ -226,12 +228,12 @@ def _mixed(spark, d):
     rows = _mixture_rows(spark, d)
     targets = _targets(rows)
     merged = materialize(M.merge(rows, targets), "mixture-merged")
-    return merged, M.emission(merged, sum(targets) + 1)
+    return rows, merged, M.emission(merged, sum(targets) + 1)
 
 
 @query
 def mixture_order(spark, d):
-    return _mixed(spark, d)[1].select("src", "doc_id", "off", "n")
+    return _mixed(spark, d)[2].select("src", "doc_id", "off", "n")
 
 
 @query
@@ -242,7 +244,7 @@ def mixture_accounting(spark, d):
 @query
 def screen_counters_drawn(spark, d):
     """Counters over the rows the mixture drew: up to the last emitted document of each source."""
-    last = _mixed(spark, d)[1].groupBy("src").agg(F.max(F.struct("ordinal", "doc_id")).alias("last"))
+    last = _mixed(spark, d)[2].groupBy("src").agg(F.max(F.struct("ordinal", "doc_id")).alias("last"))
     last = last.select(F.when(F.col("src") == 0, SOURCES[0]).otherwise(SOURCES[1]).alias("source"), "last")
     rows = _screened(spark, d).join(F.broadcast(last), "source").where(F.struct("ordinal", "doc_id") <= F.col("last"))
     return X.counters(rows)

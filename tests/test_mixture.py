@@ -32,11 +32,12 @@ def sequential(rows, targets, stored_total):
 
 
 def run(spark, rows, targets):
-    merged = M.merge(spark.createDataFrame([(*r, "t", 1) for r in rows], SCHEMA).repartition(3), targets)
+    own = spark.createDataFrame([(*r, "t", 1) for r in rows], SCHEMA).repartition(3)
+    merged = M.merge(own, targets)
     emitted = M.emission(merged, sum(targets) + 1)
     if not M.exhausted(merged, emitted, targets).isEmpty():
         raise RuntimeError("exhausted")
-    acc = {r.src: r for r in M.accounting(merged, emitted).collect()}
+    acc = {r.src: r for r in M.accounting(own, merged, emitted).collect()}
     order = [(r.doc_id, r.off, r.n) for r in emitted.orderBy("off").collect()]
     return order, [acc[s].prediction_ids if s in acc else 0 for s in (0, 1)], [[acc[s].intra_skips, acc[s].cross_skips] if s in acc else [0, 0] for s in (0, 1)]
 

@@ -26,7 +26,7 @@ def test_decisions(spark, shared):
 
 def test_screen_comes_before_the_split(spark):
     rows = spark.createDataFrame([("s", 1, 1, f"x {ITEM}", "train"), ("s", 2, 2, "clean text", "train"), ("s", 3, 3, "held out", "validation")], "source string, ordinal int, doc_id int, text string, split string")
-    screened = X.screened(rows, tables(spark)[1])
+    screened = X.screened(rows.drop("text"), rows, tables(spark)[1])
     assert [r.doc_id for r in screened.where(~F.col("rejected")).orderBy("doc_id").collect()] == [2, 3]
     assert tuple(X.counters(screened).first()) == ("s", 3, 2, 1, 1)
 
