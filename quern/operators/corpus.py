@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators.prefix import running_total
+from quern.plans.runtime import spread
 
 
 def source_name(source: Column) -> Column:
@@ -15,7 +16,7 @@ def source_name(source: Column) -> Column:
 
 def corpus(documents: DataFrame) -> DataFrame:
     """(source, ordinal, doc_id, text) of the rows with text; the order within a source is (ordinal, doc_id)."""
-    return documents.select(source_name(F.col("source")).alias("source"), F.col("ordinal").cast("bigint").alias("ordinal"), "doc_id", "text").where(T.is_text(F.col("text")))
+    return spread(documents, "doc_id").select(source_name(F.col("source")).alias("source"), F.col("ordinal").cast("bigint").alias("ordinal"), "doc_id", "text").where(T.is_text(F.col("text")))
 
 
 def identified(documents: DataFrame) -> DataFrame:

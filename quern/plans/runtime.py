@@ -49,6 +49,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Input bytes a core should have before a small table is spread over all cores.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of few, small row groups over all cores, by a hash of ``key``; a larger one as it is read.
+
+    A file's row group is read by one task however many cores there are. What is moved is below ``SPREAD_BYTES`` a core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < SPREAD_BYTES * cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give executors on other machines this package, so that Python operators can import it."""
     app = spark.sparkContext.applicationId

@@ -36,7 +36,7 @@ def test_composition_is_needed_only_from_u0300():
 
 def test_other_moduli(spark):
     d = sha256(b"x").hexdigest()
-    for m in (1, 2, 97, 10_007, (1 << 45) + 1):
+    for m in (1, 2, 97, 10_007, (1 << 31) - 1):
         got = spark.range(1).select(T.split_bucket(F.lit(d), 7, m).alias("b")).first().b
         assert got == int(sha256(f"7:{d}".encode()).hexdigest(), 16) % m
 
