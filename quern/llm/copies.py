@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.sketch import Membership
 from quern.llm.words import words
-from quern.plans.runtime import materialize
+from quern.plans.runtime import materialize, spread
 
 DIGEST_BYTES = 16
 #: Most bytes of the broadcast filter of repeated digests. Beyond it more single documents are compared.
@@ -117,7 +117,7 @@ def form_copies(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     null id. An empty table gives two empty tables. Other columns of the input play no part.
     """
     spark = documents.sparkSession
-    own = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    own = spread(documents, id_col).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     thin = materialize(own.mapInArrow(_digests(digest_bytes), "doc_id bigint, digest binary"), "p3-digests")
     repeated = materialize(thin.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "p3-repeated")
     index = spark.sparkContext.broadcast(Membership.build(repeated, repeated.count(), lambda b: _digest_hashes(b.column(0).to_pylist()), filter_bytes).bits)

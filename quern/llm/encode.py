@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import tokens
+from quern.plans.runtime import spread
 
 #: Most words in the broadcast table; with words of at most tokens.WORD_CHARS characters this bounds its bytes.
 TABLE_WORDS = 100_000
@@ -78,7 +79,7 @@ def encode(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Rows that repeat each other, and rows with a null id, each keep their row. Other columns play no part.
     """
-    own = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = spread(documents, id_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = {r.word: bytes(r.ids) for r in word_table(own, folder, table_words).collect()}  # at most table_words rows
     shared = documents.sparkSession.sparkContext.broadcast(table)
     return own.mapInArrow(_encode_texts(shared, folder), T.StructType([*own.select("doc_id").schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.fmindex import FMIndex
 from quern.llm.words import words
+from quern.plans.runtime import spread
 
 #: Characters of item text in one block, hence the bound of what is broadcast at once.
 BLOCK_CHARS = 8_000_000
@@ -118,7 +119,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     no part. With more item text than ``block_chars`` a document has a row for each block that hits it.
     """
     spark = documents.sparkSession
-    own = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    own = spread(documents, id_col).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     wanted = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     blocks = max(1, -(-(wanted.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     out = None

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import tokens
+from quern.plans.runtime import spread
 
 _SENTENCE = (".", "!", "?", "…", "。", "！", "？")
 
@@ -146,7 +147,7 @@ def pieces(documents: DataFrame, limits: DataFrame, *, id_col: str = "doc_id", t
     each = [(r.limit_name, r.max_tokens, r.overlap_tokens or 0) for r in limits.select("limit_name", "max_tokens", "overlap_tokens").where("max_tokens >= 1").orderBy("limit_name", "max_tokens").collect()]  # a parameter table
     if not each:
         return documents.sparkSession.createDataFrame([], SCHEMA)
-    own = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    own = spread(documents, id_col).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     return own.mapInArrow(_pieces(each, folder), SCHEMA)
 
 
