@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.prefix import running_total
@@ -19,38 +19,42 @@ from quern.plans.runtime import materialize
 MOST_ROUNDS = 50
 
 
-def _keyed(rows: DataFrame, scale: tuple[int, int]) -> DataFrame:
-    """rows (src, ordinal, doc_id, document_id, stored, kept) with their key; only kept rows add to it."""
-    own = rows.withColumn("_add", F.when(F.col("kept"), F.col("stored")).otherwise(F.lit(0)).cast("bigint"))
-    summed = running_total(own, "_add", ["ordinal", "doc_id"], "before", by=["src"], label="mixture").drop("_add")
-    # the very first id stored, the first source's, is no prediction
-    before = F.when(F.col("src") == 0, F.greatest(F.col("before") - 1, F.lit(0))).otherwise(F.col("before"))
-    return summed.withColumn("key", before * F.when(F.col("src") == 0, F.lit(scale[0])).otherwise(F.lit(scale[1]))).drop("before")
+ORDER = ["ordinal", "doc_id"]
+
+
+def _key(before: Column, scale: tuple[int, int]) -> Column:
+    """The key of a row from the ids its source stored before it; the very first id stored, the first source's, is no prediction."""
+    first = F.col("src") == 0
+    return F.when(first, F.greatest(before - 1, F.lit(0)) * scale[0]).otherwise(before * scale[1])
 
 
 def merge(rows: DataFrame, targets: tuple[int, int]) -> DataFrame:
     """(src 0 or 1, ordinal, doc_id, document_id, n_tokens) -> the first row of each document in each source, with stored, kept, key and owner.
 
     ``kept`` rows, in the order (key, src, ordinal, doc_id), are the mixture. (src, ordinal, doc_id) must be unique.
-    Later copies take no part, however many a document has.
+    Later copies take no part, however many a document has. All rows are ordered twice, once before and once
+    after ownership is settled; the rounds between touch only documents that both sources have.
     """
     g = gcd(*targets)
     scale = (targets[1] // g, targets[0] // g)
-    place = F.struct("ordinal", "doc_id")
+    place = F.struct(*ORDER)
     firsts = rows.groupBy("document_id", "src").agg(F.min(place).alias("place"), F.min_by((F.col("n_tokens") + 1).cast("bigint"), place).alias("stored"))
     sides = firsts.groupBy("document_id").agg((F.count(F.lit(1)) == 2).alias("shared"))
-    marked = materialize(firsts.join(sides, "document_id").select("src", "place.ordinal", "place.doc_id", "document_id", "stored", "shared"), "mixture-rows")
-    owners = materialize(marked.where("shared").select("document_id", F.lit(None).cast("int").alias("owner")).distinct(), "mixture-owners")
+    marked = firsts.join(sides, "document_id").select("src", "place.ordinal", "place.doc_id", "document_id", "stored", "shared")
+    everything = running_total(marked, "stored", ORDER, "all_before", by=["src"], label="mixture")
+    # all rows count at first; what a source loses is then taken off
+    shared = materialize(everything.where("shared").withColumn("lost", F.lit(False)), "mixture-shared")
     for _ in range(MOST_ROUNDS):
-        # a shared document without an owner yet counts for both
-        now = marked.join(owners, "document_id", "left").withColumn("owner", F.when(F.col("shared"), F.col("owner")).otherwise(F.col("src")))
-        keyed = _keyed(now.withColumn("kept", F.col("owner").isNull() | (F.col("owner") == F.col("src"))), scale)
-        won = keyed.where("shared").groupBy("document_id").agg(F.min(F.struct("key", "src")).alias("w")).select("document_id", F.col("w.src").alias("owner"))
-        won = materialize(won, "mixture-owners")
-        changed = not won.join(owners.withColumnRenamed("owner", "was"), "document_id").where(~F.col("owner").eqNullSafe(F.col("was"))).isEmpty()
-        owners = won
-        if not changed:
-            return keyed
+        taken = running_total(shared.withColumn("taken", F.when(F.col("lost"), F.col("stored")).otherwise(F.lit(0)).cast("bigint")), "taken", ORDER, "taken_before", by=["src"], label="mixture-round")
+        keyed = taken.withColumn("key", _key(F.col("all_before") - F.col("taken_before"), scale))
+        owner = keyed.groupBy("document_id").agg(F.min(F.struct("key", "src")).alias("w")).select("document_id", F.col("w.src").alias("owner"))
+        now = materialize(keyed.join(owner, "document_id").withColumn("was", F.col("lost")).withColumn("lost", F.col("owner") != F.col("src")).select(*shared.columns, "owner", "was"), "mixture-shared")
+        settled = now.where(F.col("lost") != F.col("was")).isEmpty()
+        shared = now.drop("owner", "was")
+        if settled:
+            own = everything.join(now.select("src", "document_id", "lost", "owner"), ["src", "document_id"], "left").withColumn("kept", ~F.coalesce("lost", F.lit(False))).withColumn("owner", F.coalesce("owner", "src"))
+            own = own.select("src", *ORDER, "document_id", "stored", "kept", "owner", F.when(F.col("kept"), F.col("stored")).otherwise(F.lit(0)).cast("bigint").alias("add"))
+            return running_total(own, "add", ORDER, "before", by=["src"], label="mixture-keys").withColumn("key", _key(F.col("before"), scale)).drop("add", "before")
     raise RuntimeError("ownership did not settle")
 
 
