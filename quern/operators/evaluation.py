@@ -132,3 +132,16 @@ def best_batch(trials: DataFrame) -> DataFrame:
 
 def median_of(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(nearest_rank(F.col(value), 0.5).alias("p50"))
+
+
+def parameter_breakdown(tensors: DataFrame) -> DataFrame:
+    """(name, part, storage, size) -> parameters of each part; tensors that share a storage count once, in the part of the first name."""
+    once = tensors.groupBy("storage").agg(F.min_by("part", "name").alias("part"), F.min_by("size", "name").alias("size"))
+    return once.groupBy("part").agg(F.sum("size").alias("parameters"), F.count(F.lit(1)).alias("tensors"))
+
+
+def milestones(horizon: int, interval: int, boundaries: tuple[int, ...] = ()) -> list[int]:
+    """Steps 0, interval, ... and the horizon, with the boundaries within it."""
+    if horizon <= 0 or interval <= 0:
+        raise ValueError("horizon and interval must be positive")
+    return sorted({*range(0, horizon, interval), horizon, *(b for b in boundaries if 0 <= b <= horizon)})

@@ -118,3 +118,16 @@ def links(pages: DataFrame) -> DataFrame:
 def broken_links(pages: DataFrame, files: DataFrame) -> DataFrame:
     """Links to no file of (path)."""
     return links(pages).join(files.select(F.col("path").alias("target")), "target", "left_anti")
+
+
+def same_rows(one: DataFrame, other: DataFrame) -> bool:
+    """Whether two tables hold the same rows as often."""
+    other = other.select(*one.columns)
+    return one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+
+
+def match_artifacts(tasks: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(task, sha256) expected and found -> (task, problem): missing, unexpected, or of another digest."""
+    both = tasks.select("task", F.col("sha256").alias("s1"), F.lit(True).alias("l")).join(artifacts.select("task", F.col("sha256").alias("s2"), F.lit(True).alias("r")), "task", "full")
+    problem = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "unexpected").when(~F.col("s1").eqNullSafe(F.col("s2")), "digest")
+    return both.select("task", problem.alias("problem")).where("problem is not null")

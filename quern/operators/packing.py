@@ -67,6 +67,13 @@ def window_count(stored_total: int, context: int = CONTEXT) -> int:
     return (stored_total - 1) // context
 
 
+def batch_range(cursor: int, size: int, total: int) -> range:
+    """Window ids of the next batch; a batch that the stream can't fill is an error, for windows are never used twice."""
+    if cursor < 0 or size <= 0 or cursor + size > total:
+        raise IndexError(f"windows {cursor} to {cursor + size} of {total}")
+    return range(cursor, cursor + size)
+
+
 def indexed_batch(stream: DataFrame, requests: DataFrame, context: int = CONTEXT) -> DataFrame:
     """(place, window_id) requests -> (place, window_id, inputs, targets), repeated requests included."""
     return requests.join(examples(windows(stream, context, wanted=requests)), "window_id").select("place", "window_id", "inputs", "targets")

@@ -18,6 +18,7 @@ from quern.operators import packing as P
 from quern.operators import progress as G
 from quern.operators import schedule as S
 from quern.operators import screen as X
+from quern.operators import tokenize as K
 from quern.plans.runtime import materialize, read, shared_dir, ship_package
 from quern.streaming import corpus as stream
 
@@ -92,6 +93,12 @@ def benchmark_digests(spark, d):
     return T.source_text_digest(read(spark, d, "benchmark").select("item_id", "text")).select(F.col("id").alias("item_id"), "digest")
 
 
+@query
+def pretoken_counts(spark, d):
+    """How often each pre-token occurs: what a vocabulary is read against."""
+    return _corpus(spark, d).select(F.explode(K.pretokens(F.col("text"))).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("times"))
+
+
 # --- screen
 
 
@@ -542,7 +549,7 @@ def progress_first_last(spark, d):
 
 
 def _drain(rows: DataFrame, spark: SparkSession, label: str) -> str:
-    out = f"{shared_dir(spark)}/quern/{label}-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
     q = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return f"{out}/rows"

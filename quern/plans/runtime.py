@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -20,6 +22,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete what this session's operators have written to the shared folder. Results not yet read are lost with it."""
+    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/quern"
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    app = spark.sparkContext.applicationId
+    for status in files.listStatus(target) if files.exists(target) else []:
+        if status.getPath().getName().startswith(f"{app}-"):
+            files.delete(status.getPath(), True)
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
 
@@ -33,7 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not is_local(spark):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = _LOCAL_SHARED.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quern-shared-"))
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_SHARED:
+            _LOCAL_SHARED[app] = tempfile.mkdtemp(prefix="quern-shared-")
+            atexit.register(shutil.rmtree, _LOCAL_SHARED[app], True)
+        found = _LOCAL_SHARED[app]
     return found.rstrip("/")
 
 
@@ -44,7 +61,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     ``checkpoint()`` it computes ``df`` once and can be read by column.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import MISSING, dataclass, fields, is_dataclass
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quern.operators.integrity import compare_manifests, manifest
 from quern.operators.screen import check_index
 
 VOCABULARY = 8192
@@ -89,6 +91,26 @@ def read_stream(spark: SparkSession, folder: str, chunk: int = CHUNK, visible: i
     return files.select(F.regexp_extract("path", r"part-(\d+)\.u16$", 1).cast("bigint").alias("part"), "content").mapInArrow(run, "off bigint, n bigint, ids array<int>")
 
 
+def stream_sha256(folder: str) -> str:
+    """Digest of the stream's bytes, file by file in order."""
+    digest = hashlib.sha256()
+    for p in sorted(Path(folder).glob("part-*.u16")):
+        with p.open("rb") as f:
+            while block := f.read(1 << 20):
+                digest.update(block)
+    return digest.hexdigest()
+
+
+def load_bundle(spark: SparkSession, folder: str, chunk: int = CHUNK, visible: int | None = None) -> DataFrame:
+    """The stream of an artifact folder whose files are those of its manifest.json; missing, added or altered files are errors."""
+    listed = read_json_object(Path(folder, "manifest.json"))["files"]
+    expected = spark.createDataFrame([(x["path"], x["bytes"], x["sha256"]) for x in listed], "path string, bytes bigint, sha256 string")
+    problems = compare_manifests(expected, manifest(spark, folder, exclude=("manifest.json", "SHA256SUMS"))).limit(20).collect()
+    if problems:
+        raise RuntimeError(f"{folder}: " + ", ".join(f"{p.path} {p.problem}" for p in problems))
+    return read_stream(spark, f"{folder}/stream", chunk, visible)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """A digest index; a value that is no 32-byte digest is an error."""
     index = spark.read.parquet(path).select("value")

@@ -123,3 +123,11 @@ def test_telemetry(spark):
     assert (got[1].prediction_tokens, got[1].percent, got[1].ids_per_second, got[1].remaining_seconds) == (12, 100.0, 3.25, 0.0)
     assert [r.at for r in G.out_of_range(rows, 13).collect()] == [4]
     assert tuple(G.first_and_last(rows, ["build"], "at", "stored").first()) == ("b", 1, 0, 4, 14, 4)
+
+
+def test_parameters_and_milestones(spark):
+    tensors = spark.createDataFrame([("embed", "embedding", "s1", 10), ("head", "output", "s1", 10), ("w", "layers", "s2", 5), ("v", "layers", "s3", 7)], "name string, part string, storage string, size int")
+    assert {r.part: (r.parameters, r.tensors) for r in E.parameter_breakdown(tensors).collect()} == {"embedding": (10, 1), "layers": (12, 2)}
+    assert E.milestones(9156, 3052) == [0, 3052, 6104, 9156] and E.milestones(10, 4, (7, 99)) == [0, 4, 7, 8, 10]
+    with pytest.raises(ValueError):
+        E.milestones(0, 1)

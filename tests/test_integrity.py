@@ -108,3 +108,22 @@ def test_readers(spark, tmp_path):
     assert A.read_index(spark, str(tmp_path / "good")).count() == 1
     with pytest.raises(ValueError):
         A.read_index(spark, str(tmp_path / "bad"))
+
+
+def test_sets_and_artifacts(spark):
+    one = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, v string")
+    assert I.same_rows(one, one.select("v", "k").repartition(3)) and not I.same_rows(one, one.distinct())
+    want = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", None)], "task string, sha256 string")
+    got = spark.createDataFrame([("x", "1"), ("y", "3"), ("w", "4")], "task string, sha256 string")
+    assert {(r.task, r.problem) for r in I.match_artifacts(want, got).collect()} == {("y", "digest"), ("z", "missing"), ("w", "unexpected")}
+
+
+def test_bundle(spark, tmp_path):
+    stream = spark.createDataFrame([(0, 3, [1, 2, 3]), (3, 2, [4, 5])], "off bigint, n bigint, ids array<int>")
+    A.write_stream(stream, str(tmp_path / "stream"), 5, chunk=2).collect()
+    assert A.stream_sha256(str(tmp_path / "stream")) == sha256(b"".join(x.to_bytes(2, "little") for x in (1, 2, 3, 4, 5))).hexdigest()
+    I.write_manifest(I.manifest(spark, str(tmp_path)), str(tmp_path))
+    assert [x for r in A.load_bundle(spark, str(tmp_path), 2, visible=4).orderBy("off").collect() for x in r.ids] == [1, 2, 3, 4]
+    (tmp_path / "stream" / "part-00000001.u16").write_bytes(b"12")
+    with pytest.raises(RuntimeError):
+        A.load_bundle(spark, str(tmp_path), 2)

@@ -121,3 +121,10 @@ def test_stream_files(spark, tmp_path, chunk):
     for bad in ({"stored_total": len(ids) + 1}, {"stored_total": len(ids) - 1}, {"stored_total": len(ids), "vocabulary": 8191}, {"stored_total": 0}, {"stored_total": len(ids), "chunk": 0}):
         with pytest.raises((RuntimeError, ValueError)):
             A.write_stream(s, str(tmp_path / "bad"), **bad)
+
+
+def test_cursor_never_wraps():
+    assert list(P.batch_range(2, 3, 5)) == [2, 3, 4]
+    for bad in ((3, 3, 5), (-1, 1, 5), (0, 0, 5)):
+        with pytest.raises(IndexError):
+            P.batch_range(*bad)
