@@ -8,7 +8,7 @@ def test_materialized_tables_are_read_back_and_dropped(spark):
     df = spark.range(10).withColumn("x", F.when(F.col("id") > 4, F.array(F.lit("a"))))
     back = R.materialize(df, "test")
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
-    assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in df.schema] and R.materialize(df.limit(0), "test").isEmpty()
+    assert back.dtypes == df.dtypes and R.materialize(df.limit(0), "test").isEmpty()
     R.drop_materialized(spark)
     R.drop_materialized(spark)
     with pytest.raises(Exception):
