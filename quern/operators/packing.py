@@ -91,11 +91,11 @@ def source_counts(stream: DataFrame, windows_total: int, context: int = CONTEXT)
 
 
 def window_digests(windowed: DataFrame) -> DataFrame:
-    """(window_id, digest): SHA-256 over the id as uint32 and the stored ids as uint16, little-endian."""
+    """(window_id, digest): SHA-256 over the id as uint32 and the low 16 bits of each stored id, little-endian."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [sha256(np.uint32(w).tobytes() + np.asarray(ids, np.uint16).tobytes()).hexdigest() for w, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            out = [sha256(np.uint32(w).tobytes() + np.asarray(ids, np.int64).astype(np.uint16).tobytes()).hexdigest() for w, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["window_id", "digest"])
 
     return windowed.select("window_id", "ids").mapInArrow(run, "window_id bigint, digest string")

@@ -2,22 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.plans.runtime import materialize
 
 
+def _within(value: str, by: list[str]):
+    """Appends to sorted batches the sum of ``value`` over the rows before in the same group and partition."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, group = 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = b.column(value).to_numpy(zero_copy_only=False).astype(np.int64)
+            changed = np.zeros(len(v), bool)
+            for c in by:
+                codes = b.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                changed[1:] |= codes[1:] != codes[:-1]
+            first = tuple(b.column(c)[0].as_py() for c in by)
+            changed[0] = first != group
+            before = np.cumsum(v) - v
+            starts = np.flatnonzero(np.append(True, changed[1:]))
+            sizes = np.diff(np.append(starts, len(v)))
+            own = before - np.repeat(before[starts], sizes)
+            if not changed[0]:
+                own[: sizes[0]] += carried
+            carried, group = int(own[-1] + v[-1]), tuple(b.column(c)[-1].as_py() for c in by)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=[*b.schema.names, "_within"])
+
+    return run
+
+
 def running_total(df: DataFrame, value: str, order: list[str], out: str, by: list[str] = [], label: str = "prefix") -> DataFrame:  # noqa: B006
-    """``df`` with ``out``: the sum of ``value`` over the rows before, in each group of ``by``.
+    """``df`` with ``out``: the sum of ``value``, which is never null, over the rows before, in each group of ``by``.
 
-    A parallel prefix sum: rows are range-partitioned by group and order and written once, the totals of the
-    parts are summed, and each part adds the base of those before it. ``by + order`` must be unique.
+    A parallel prefix sum with one shuffle: rows are range-partitioned and sorted by group and order, each part
+    sums as it passes and is written once, and the totals of the parts before it are added. ``by + order`` must
+    be unique.
     """
     keys = [*by, *order]
-    parts = materialize(df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism * 2, *keys).withColumn("_part", F.spark_partition_id()), label)
+    spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys)  # adaptive execution joins neighbouring small parts
+    summed = spread.mapInArrow(_within(value, by), T.StructType([*df.schema, T.StructField("_within", T.LongType())]))
+    parts = materialize(summed.withColumn("_part", F.spark_partition_id()), label)
     totals = parts.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*by, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))  # a row for each part
-    within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.join(F.broadcast(bases), [*by, "_part"]).withColumn(out, (F.col("_base") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("bigint")).drop("_part", "_base")
+    bases = totals.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))  # a row for each part
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return parts.join(F.broadcast(bases), same).select(*df.columns, (F.col("_base") + F.col("_within")).cast("bigint").alias(out))

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 # White space as Python sees it, the n-gram token pattern, and the seeds of ids and splits.
 _SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}"
+_WHITE = r"\t-\r \x{85}\p{Z}"
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + _SPACE + "]"
 
+# RE2 has no lookahead: the last blank of a run before a word is first set apart by a mark.
+_PRETOKEN = r"''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^" + _WHITE + r"\p{L}\p{N}\x01]+|[" + _WHITE + "]+"
+_MARK = "([" + _WHITE + "]+)([" + _WHITE + "][^" + _WHITE + "])"
+
 # NFKC and case folding of the characters in the test tables that lower() after NFC leaves otherwise.
 _FOLDED = "lower(nfc_normalize(translate(text, '０１２３４５６７８９', '0123456789')))"
 for _from, _to in (("ß", "ss"), ("…", "..."), ("ﬁ", "fi"), ("ﬂ", "fl"), ("™", "tm"), ("¼", "1⁄4")):
@@ -115,6 +120,8 @@ def oracle_sql() -> dict[str, str]:
         "text_metrics": f"""WITH {CORPUS} SELECT doc_id, strlen(text) AS n_bytes, length(text) AS n_chars, w AS n_words, round(strlen(text) / greatest(w, 1), 6) AS bytes_per_word, round(length(text) / greatest(w, 1), 6) AS chars_per_word
           FROM (SELECT *, len(regexp_extract_all(text, '[^{_SPACE}]+')) AS w FROM corpus)""",
         "benchmark_digests": f"SELECT item_id, sha256(array_to_string(regexp_extract_all({_FOLDED}, '{_TOKEN}'), ' ')) AS digest FROM benchmark",
+        "pretoken_counts": f"""WITH {CORPUS}, marked AS (SELECT regexp_replace(text, '{_MARK}', '\\1' || chr(1) || '\\2', 'g') AS text FROM corpus)
+          SELECT piece, count(*) AS times FROM (SELECT unnest(regexp_extract_all(text, '{_PRETOKEN}')) AS piece FROM marked) GROUP BY piece""",
         "ngram_index_build": f"WITH {INDEX} SELECT value FROM idx",
         "index_extension": f"WITH {INDEX}, old AS (SELECT lower(hex(value)) AS value FROM ngram_index) SELECT false AS new, count(*) AS digests FROM old UNION ALL SELECT true, count(*) FROM idx ANTI JOIN old USING (value) HAVING count(*) > 0",
         "index_violations": "SELECT arrival_id, octet_length(value) AS n_bytes FROM ngram_hashes WHERE value IS NULL OR octet_length(value) <> 32",
@@ -150,6 +157,8 @@ def oracle_sql() -> dict[str, str]:
         "indexed_batch": f"WITH {FLAT} SELECT place, window_id, inputs, targets FROM (SELECT i AS place, (i * 37 + 11) % w AS window_id FROM (SELECT unnest(range(64)) AS i, w FROM total)) JOIN ex USING (window_id)",
         "contiguous_batch": f"WITH {FLAT} SELECT window_id, first_input, last_target FROM ex WHERE window_id >= 8 AND window_id < 24",
         "window_source_counts": f"WITH {PHASES} SELECT window_id, source, n_targets FROM sourced",
+        "window_digests": f"""WITH {FLAT} SELECT window_id, sha256(unhex(printf('%02x%02x%02x%02x', window_id & 255, (window_id >> 8) & 255, (window_id >> 16) & 255, (window_id >> 24) & 255)
+          || array_to_string([printf('%02x%02x', x & 255, (x >> 8) & 255) FOR x IN ids], ''))) AS digest FROM win""",
         "rolling_windows": "SELECT seq AS id, CAST((n + 511) // 512 AS BIGINT) AS parts, n AS scored FROM (SELECT DISTINCT seq, len(ids) AS n FROM token_docs WHERE len(ids) > 0)",
         "window_schedule": f"WITH {PHASES} SELECT schedule, position, window_id FROM sched",
         "schedule_integrity": f"""WITH {PHASES} SELECT schedule, count(*) AS windows, min(position) = 0 AND max(position) = any_value(w) - 1 AND count(DISTINCT position) = any_value(w) AS positions_ok,
@@ -190,7 +199,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT max(step) AS step, round(arg_max(combined, step), 6) AS combined, round(any_value(best), 6) AS best FROM late WHERE combined <= best + 0.05""",
         "arm_classification": """WITH x AS (SELECT user_id, avg(value) FILTER (event_type = 'view') / 1000 AS cg, avg(value) FILTER (event_type = 'click') / 1000 AS ce, avg(value) FILTER (event_type = 'purchase') / 1000 AS og, avg(value) FILTER (event_type = 'signup') / 1000 AS oe FROM events GROUP BY 1),
           y AS (SELECT user_id, (cg + ce) / 2 AS cc, (og + oe) / 2 AS oc, og - cg AS dg, oe - ce AS de, (og + oe) / 2 - (cg + ce) / 2 AS dc FROM x WHERE cg IS NOT NULL AND ce IS NOT NULL AND og IS NOT NULL AND oe IS NOT NULL)
-          SELECT user_id, round(cc, 6) AS control_combined, round(oc, 6) AS other_combined, round(dg, 6) AS delta_general, round(de, 6) AS delta_edu, round(dc, 6) AS delta_combined, dg > 0.02 OR de > 0.02 AS regressed,
+          SELECT user_id, round(cc, 12) AS control_combined, round(oc, 12) AS other_combined, round(dg, 12) AS delta_general, round(de, 12) AS delta_edu, round(dc, 12) AS delta_combined, dg > 0.02 OR de > 0.02 AS regressed,
             CASE WHEN dc <= -0.02 AND NOT (dg > 0.02 OR de > 0.02) THEN 'CAPABILITY WIN' WHEN dc <= 0.01 THEN 'PERFORMANCE TIE' ELSE 'REJECT WSD' END AS classification FROM y""",
         "next_milestone": "SELECT step::INT AS step, CASE WHEN step < 3052 THEN 3052 WHEN step < 6104 THEN 6104 WHEN step < 9156 THEN 9156 END AS milestone FROM range(0, 9157, 109) t(step)",
         "best_microbatch": "SELECT arg_max(m, v) AS microbatch, round(max(v), 6) AS tokens_per_second FROM (SELECT user_id % 16 AS m, avg(value) AS v FROM events GROUP BY 1) WHERE m % 5 <> 0",

@@ -481,7 +481,7 @@ def arm_classification(spark, d):
 
     x = e.groupBy("user_id").agg(mean("view").alias("cg"), mean("click").alias("ce"), mean("purchase").alias("og"), mean("signup").alias("oe")).na.drop()
     c = LR.classify(*(F.col(k) for k in ("cg", "ce", "og", "oe")))
-    return x.select("user_id", *[(F.round(v, 6) if n.startswith(("delta", "control", "other")) else v).alias(n) for n, v in c.items()])
+    return x.select("user_id", *[(F.round(v, 12) if n.startswith(("delta", "control", "other")) else v).alias(n) for n, v in c.items()])
 
 
 @query

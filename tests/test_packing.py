@@ -128,3 +128,20 @@ def test_cursor_never_wraps():
     for bad in ((3, 3, 5), (-1, 1, 5), (0, 0, 5)):
         with pytest.raises(IndexError):
             P.batch_range(*bad)
+
+
+def test_running_total_with_null_groups_and_many_batches(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), k, r.randrange(5)) for k in range(3000)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {x.o: x.before for x in running_total(spark.createDataFrame(rows, "g string, o int, v int"), "v", ["o"], "before", by=["g"]).collect()}
+        plain = {x.o: x.before for x in running_total(spark.createDataFrame(rows, "g string, o int, v int"), "v", ["o"], "before").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    sums, whole = {}, 0
+    for g, o, v in rows:
+        assert got[o] == sums.get(g, 0) and plain[o] == whole
+        sums[g], whole = sums.get(g, 0) + v, whole + v
+    assert running_total(spark.createDataFrame([], "g string, o int, v int"), "v", ["o"], "before", by=["g"]).isEmpty()
