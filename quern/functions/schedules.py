@@ -29,7 +29,8 @@ def retention(schedule: DataFrame, weight_decay: float) -> DataFrame:
     later = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
     kept = F.exp(F.coalesce(F.sum(F.log1p(-F.col("lr") * weight_decay)).over(later), F.lit(0.0)))
     raw = schedule.withColumn("raw", F.col("lr") * weight_decay * kept)
-    return raw.crossJoin(F.broadcast(raw.agg(F.max("raw").alias("most")))).select("step", (F.col("raw") / F.col("most")).alias("coefficient"))
+    most = raw.agg(F.max("raw")).first()[0]
+    return raw.select("step", (F.col("raw") / F.lit(most)).alias("coefficient"))
 
 
 def perplexity(mean_nll: Column) -> Column:
@@ -53,16 +54,6 @@ def classify(control_general: Column, control_edu: Column, other_general: Column
     return {"control_combined": combined_control, "other_combined": combined_other, "delta_general": general, "delta_edu": edu, "delta_combined": delta, "regressed": regressed, "classification": decision}
 
 
-def nearest_rank(values: Column, quantile: float) -> Column:
-    """Aggregate: the value at rank round((n - 1) q), halves rounded to even; null of nothing."""
-    if not 0.0 <= quantile <= 1.0:
-        raise ValueError("quantile must be in [0, 1]")
-    # an exact order statistic by position without collecting the group: percentile at a whole rank interpolates nothing
-    n = F.count(values)
-    rank = F.bround((n - 1) * F.lit(quantile)).cast("int")
-    return F.element_at(F.array_sort(F.collect_list(values)), rank + 1)
-
-
 def run_state(step: Column, batch_tokens: int, sequence_tokens: int) -> dict[str, Column]:
     """Tokens and next window after a number of updates."""
     per = batch_tokens // sequence_tokens

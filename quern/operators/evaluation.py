@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.schedules import nearest_rank
-
 LIKELIHOOD = ("loglikelihood", "multiple_choice")
 
 
@@ -26,19 +24,28 @@ def account(requests: DataFrame) -> DataFrame:
     return requests.agg(F.count_distinct(example).alias("examples"), F.count(F.lit(1)).alias("continuations"), F.sum("n_continuation").alias("scored_tokens"), F.sum(total).alias("total_tokens"))
 
 
-def length_summary(requests: DataFrame, by: list[str]) -> DataFrame:
-    """Count, sum, extremes, and median and 95th percentile by nearest rank, of context and continuation together.
+def _ranked(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, value, n, upto, all): how often each value occurs, up to it and in all, so that no group of rows is gathered."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy(value))).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
 
-    The percentiles come from counts by length, so that no group is gathered.
-    """
-    lengths = requests.withColumn("length", F.col("n_context") + F.col("n_continuation")).groupBy(*by, "length").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy("length")
-    ranks = lengths.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
 
-    def at(q: float) -> Column:
-        return F.min(F.when(F.col("upto") > F.bround((F.col("all") - 1) * F.lit(q)), F.col("length")))
+def _rank(value: str, quantile: float) -> Column:
+    """Aggregate over ``_ranked``: the value at rank round((all - 1) q), halves rounded to even."""
+    if not 0.0 <= quantile <= 1.0:
+        raise ValueError("quantile must be in [0, 1]")
+    return F.min(F.when(F.col("upto") > F.bround((F.col("all") - 1) * F.lit(quantile)), F.col(value)))
 
-    return ranks.groupBy(*by).agg(F.sum("n").alias("requests"), F.sum(F.col("length") * F.col("n")).alias("tokens"), F.min("length").alias("least"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("length").alias("most"))
+
+def nearest_ranks(rows: DataFrame, value: str, by: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Exact order statistics of each group by nearest rank; null values don't count, a group without others has no row."""
+    return _ranked(rows, value, by).groupBy(*by).agg(*[_rank(value, q).alias(n) for n, q in quantiles.items()])
+
+
+def length_summary(requests: DataFrame, by: list[str]) -> DataFrame:
+    """Count, sum, extremes, and median and 95th percentile by nearest rank, of context and continuation together."""
+    ranks = _ranked(requests.withColumn("length", F.col("n_context") + F.col("n_continuation")), "length", by)
+    return ranks.groupBy(*by).agg(F.sum("n").alias("requests"), F.sum(F.col("length") * F.col("n")).alias("tokens"), F.min("length").alias("least"), _rank("length", 0.5).alias("p50"), _rank("length", 0.95).alias("p95"), F.max("length").alias("most"))
 
 
 def event_contexts(requests: DataFrame, max_context: int = 512) -> DataFrame:
@@ -115,9 +122,9 @@ def joined_curves(general: DataFrame, edu: DataFrame) -> DataFrame:
 def select_checkpoint(curve: DataFrame, from_step: int, tolerance: float) -> DataFrame:
     """The latest step, from ``from_step`` on, whose combined loss is within ``tolerance`` of the best."""
     late = curve.where(F.col("step") >= from_step)
-    best = late.agg(F.min("combined").alias("best"))
-    near = late.crossJoin(F.broadcast(best)).where(F.col("combined") <= F.col("best") + tolerance)
-    return near.agg(F.max("step").alias("step"), F.max_by("combined", "step").alias("combined"), F.max("best").alias("best")).where("step is not null")
+    best = F.lit(late.agg(F.min("combined")).first()[0]).cast("double")
+    near = late.where(F.col("combined") <= best + tolerance)
+    return near.agg(F.max("step").alias("step"), F.max_by("combined", "step").alias("combined"), F.first(best).alias("best")).where("step is not null")
 
 
 def next_milestone(steps: DataFrame, milestones: list[int]) -> DataFrame:
@@ -130,10 +137,6 @@ def best_batch(trials: DataFrame) -> DataFrame:
     return trials.where("status = 'ok'").agg(F.max_by("microbatch", F.struct("tokens_per_second", -F.col("microbatch"))).alias("microbatch"), F.max("tokens_per_second").alias("tokens_per_second")).where("microbatch is not null")
 
 
-def median_of(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(nearest_rank(F.col(value), 0.5).alias("p50"))
-
-
 def parameter_breakdown(tensors: DataFrame) -> DataFrame:
     """(name, part, storage, size) -> parameters of each part; tensors that share a storage count once, in the part of the first name."""
     once = tensors.groupBy("storage").agg(F.min_by("part", "name").alias("part"), F.min_by("size", "name").alias("size"))

@@ -65,8 +65,7 @@ def emission(merged: DataFrame, stored_total: int) -> DataFrame:
     """
     kept = running_total(merged.where("kept"), "stored", ["key", "src", "ordinal", "doc_id"], "off", label="emission")
     cut = materialize(kept.where(F.col("off") < stored_total), "emission-cut")
-    last = cut.agg(F.max(F.struct("key", "src")).alias("m"), F.max(F.col("off") + F.col("stored")).alias("end")).first()
-    if (last.end or 0) < stored_total:
+    if (cut.agg(F.max(F.col("off") + F.col("stored"))).first()[0] or 0) < stored_total:
         raise RuntimeError("both sources ended before the mixture was complete")
     return cut.withColumn("n", F.least(F.col("stored"), F.lit(stored_total) - F.col("off")))
 
@@ -76,8 +75,10 @@ def exhausted(merged: DataFrame, emitted: DataFrame, targets: tuple[int, int]) -
     g = gcd(*targets)
     total = merged.where("kept").groupBy("src").agg(F.sum("stored").alias("t"))
     end = total.withColumn("key", F.when(F.col("src") == 0, (F.col("t") - 1) * (targets[1] // g)).otherwise(F.col("t") * (targets[0] // g)))
-    last = emitted.agg(F.max(F.struct("key", "src")).alias("last"))
-    return end.crossJoin(F.broadcast(last)).where(F.struct("key", "src") < F.col("last")).select("src")
+    last = emitted.agg(F.max(F.struct("key", "src")).alias("last")).first().last
+    if last is None:
+        return end.limit(0).select("src")
+    return end.where((F.col("key") < last.key) | ((F.col("key") == last.key) & (F.col("src") < last.src))).select("src")
 
 
 def accounting(rows: DataFrame, merged: DataFrame, emitted: DataFrame) -> DataFrame:

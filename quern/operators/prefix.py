@@ -44,8 +44,8 @@ def running_total(df: DataFrame, value: str, order: list[str], out: str, by: lis
     """``df`` with ``out``: the sum of ``value``, which is never null, over the rows before, in each group of ``by``.
 
     A parallel prefix sum with one shuffle: rows are range-partitioned and sorted by group and order, each part
-    sums as it passes and is written once, and the totals of the parts before it are added. ``by + order`` must
-    be unique.
+    sums as it passes and is written once, and the totals of the parts before it, a row for each part and group,
+    are added by broadcast: ``by`` must have few groups. ``by + order`` must be unique.
     """
     keys = [*by, *order]
     spread = df.repartitionByRange(*keys).sortWithinPartitions(*keys)  # adaptive execution joins neighbouring small parts

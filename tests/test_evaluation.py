@@ -45,13 +45,15 @@ def test_run_arithmetic(spark):
 
 def test_nearest_rank(spark):
     r = random.Random(1)
-    for n in (1, 2, 3, 10, 51):
-        v = [r.randrange(100) for _ in range(n)]
-        df = spark.createDataFrame([(x,) for x in v], "v int")
-        for q in (0.0, 0.05, 0.5, 0.95, 1.0):
-            assert df.agg(L.nearest_rank(F.col("v"), q)).first()[0] == sorted(v)[round((n - 1) * q)]
+    groups = {n: [r.randrange(100) for _ in range(n)] for n in (1, 2, 3, 10, 51)}
+    df = spark.createDataFrame([(n, x) for n, v in groups.items() for x in [*v, None]] + [(0, None)], "g int, v int")
+    q = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {x.g: x for x in E.nearest_ranks(df, "v", ["g"], q).collect()}
+    assert set(got) == set(groups)
+    for n, v in groups.items():
+        assert {k: got[n][k] for k in q} == {k: sorted(v)[round((n - 1) * x)] for k, x in q.items()}
     with pytest.raises(ValueError):
-        L.nearest_rank(F.col("v"), 1.5)
+        E.nearest_ranks(df, "v", ["g"], {"x": 1.5})
 
 
 SCHEMA = "request_id int, request_type string, task string, doc_id int, n_context int, n_continuation int"
