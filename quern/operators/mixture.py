@@ -3,20 +3,26 @@
 The sequential rule, draw from the source that is furthest behind its target and skip what is owned already,
 is a merge of two sorted lists: a document's key is the tokens its source contributed before it, scaled by the
 other source's target. Ownership of a document that both sources have depends on the keys and the keys on who
-lost it, so both are found by iteration on slim metadata until nothing changes. Texts and ids play no part.
+lost it, so these documents alone are merged one after another, as the rule says, in blocks of slim metadata;
+all other rows get their keys from prefix sums. Texts and ids play no part.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from math import gcd
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.prefix import running_total
-from quern.plans.runtime import materialize
+from quern.plans.runtime import materialize, shared_dir
 
-MOST_ROUNDS = 50
+#: Shared documents of a source that the driver holds at once, besides a byte for each of all.
+BLOCK = 500_000
 
 
 ORDER = ["ordinal", "doc_id"]
@@ -28,13 +34,65 @@ def _key(before: Column, scale: tuple[int, int]) -> Column:
     return F.when(first, F.greatest(before - 1, F.lit(0)) * scale[0]).otherwise(before * scale[1])
 
 
+def _side(shared: DataFrame, src: int, n: int) -> Iterator[tuple[list[int], list[int], list[int]]]:
+    """The shared documents of a source in its order, by blocks: (place in the first source, all_before, stored) of each."""
+    for start in range(0, n, BLOCK):
+        t = shared.where((F.col("src") == src) & F.col("pos").between(start, start + BLOCK - 1)).select("pos", "twin", "all_before", "stored").toArrow().sort_by("pos")
+        yield tuple(t.column(c).to_pylist() for c in ("twin", "all_before", "stored"))
+
+
+def _lost(sides: list[Iterator[tuple[list[int], list[int], list[int]]]], n: int, scale: tuple[int, int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(source, places in its order) of the documents that the other source drew before, a block at a time.
+
+    The sequential rule on the ``n`` documents that both sources have; a place is a document's number in its source's order.
+    """
+    drawn = bytearray(n)
+    taken, done = [0, 0], [0, 0]  # ids lost so far; places before the block
+    block = [next(s, None) for s in sides]
+    flags = [bytearray(len(b[0])) if b else bytearray() for b in block]
+    at = [0, 0]
+    while block[0] and block[1]:
+        (twin_0, all_0, stored_0), (twin_1, all_1, stored_1) = block
+        (lost_0, lost_1), (i, j), (off_0, off_1) = flags, at, taken
+        end_0, end_1 = len(twin_0), len(twin_1)
+        while i < end_0 and j < end_1:
+            if max(all_0[i] - off_0 - 1, 0) * scale[0] <= (all_1[j] - off_1) * scale[1]:
+                if drawn[twin_0[i]]:
+                    lost_0[i] = 1
+                    off_0 += stored_0[i]
+                else:
+                    drawn[twin_0[i]] = 1
+                i += 1
+            else:
+                if drawn[twin_1[j]]:
+                    lost_1[j] = 1
+                    off_1 += stored_1[j]
+                else:
+                    drawn[twin_1[j]] = 1
+                j += 1
+        at, taken = [i, j], [off_0, off_1]
+        for s in (0, 1):
+            if at[s] == len(block[s][0]):
+                yield s, done[s] + np.flatnonzero(np.frombuffer(flags[s], np.uint8))
+                done[s] += at[s]
+                block[s], at[s] = next(sides[s], None), 0
+                flags[s] = bytearray(len(block[s][0])) if block[s] else bytearray()
+    for s in (0, 1):  # the other source is through, so it has drawn all that are left here
+        if block[s]:
+            flags[s][at[s] :] = b"\1" * (len(flags[s]) - at[s])
+            yield s, done[s] + np.flatnonzero(np.frombuffer(flags[s], np.uint8))
+            for start in range(done[s] + len(flags[s]), n, BLOCK):
+                yield s, np.arange(start, min(n, start + BLOCK))
+
+
 def merge(rows: DataFrame, targets: tuple[int, int]) -> DataFrame:
     """(src 0 or 1, ordinal, doc_id, document_id, n_tokens) -> the first row of each document in each source, with stored, kept, key and owner.
 
     ``kept`` rows, in the order (key, src, ordinal, doc_id), are the mixture. (src, ordinal, doc_id) must be unique.
     Later copies take no part, however many a document has. All rows are ordered twice, once before and once
-    after ownership is settled; the rounds between touch only documents that both sources have.
+    after ownership is settled; in between, only documents that both sources have are merged, each once.
     """
+    spark = rows.sparkSession
     g = gcd(*targets)
     scale = (targets[1] // g, targets[0] // g)
     place = F.struct(*ORDER)
@@ -43,19 +101,20 @@ def merge(rows: DataFrame, targets: tuple[int, int]) -> DataFrame:
     marked = firsts.join(sides, "document_id").select("src", "place.ordinal", "place.doc_id", "document_id", "stored", "shared")
     everything = running_total(marked, "stored", ORDER, "all_before", by=["src"], label="mixture")
     # all rows count at first; what a source loses is then taken off
-    shared = materialize(everything.where("shared").withColumn("lost", F.lit(False)), "mixture-shared")
-    for _ in range(MOST_ROUNDS):
-        taken = running_total(shared.withColumn("taken", F.when(F.col("lost"), F.col("stored")).otherwise(F.lit(0)).cast("bigint")), "taken", ORDER, "taken_before", by=["src"], label="mixture-round")
-        keyed = taken.withColumn("key", _key(F.col("all_before") - F.col("taken_before"), scale))
-        owner = keyed.groupBy("document_id").agg(F.min(F.struct("key", "src")).alias("w")).select("document_id", F.col("w.src").alias("owner"))
-        now = materialize(keyed.join(owner, "document_id").withColumn("was", F.col("lost")).withColumn("lost", F.col("owner") != F.col("src")).select(*shared.columns, "owner", "was"), "mixture-shared")
-        settled = now.where(F.col("lost") != F.col("was")).isEmpty()
-        shared = now.drop("owner", "was")
-        if settled:
-            own = everything.join(now.select("src", "document_id", "lost", "owner"), ["src", "document_id"], "left").withColumn("kept", ~F.coalesce("lost", F.lit(False))).withColumn("owner", F.coalesce("owner", "src"))
-            own = own.select("src", *ORDER, "document_id", "stored", "kept", "owner", F.when(F.col("kept"), F.col("stored")).otherwise(F.lit(0)).cast("bigint").alias("add"))
-            return running_total(own, "add", ORDER, "before", by=["src"], label="mixture-keys").withColumn("key", _key(F.col("before"), scale)).drop("add", "before")
-    raise RuntimeError("ownership did not settle")
+    numbered = running_total(everything.where("shared").withColumn("one", F.lit(1).cast("bigint")), "one", ORDER, "pos", by=["src"], label="mixture-places")
+    twins = numbered.where("src = 0").select("document_id", F.col("pos").alias("twin"))
+    shared = numbered.join(twins, "document_id").select("src", "pos", "twin", "all_before", "stored", "document_id")
+    shared = materialize(shared.repartitionByRange("src", "pos").sortWithinPartitions("src", "pos"), "mixture-shared")
+    n = shared.where("src = 0").count()
+    path = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}-mixture-lost-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "src int, pos bigint").write.parquet(path)
+    for src, pos in _lost([_side(shared, s, n) for s in (0, 1)], n, scale):
+        if len(pos):
+            spark.createDataFrame(pa.table({"src": np.full(len(pos), src, np.int32), "pos": pos.astype(np.int64)})).write.mode("append").parquet(path)
+    lost = spark.read.schema("src int, pos bigint").parquet(path).join(shared, ["src", "pos"]).select("src", "document_id", F.lit(True).alias("lost"))
+    own = everything.join(lost, ["src", "document_id"], "left").withColumn("kept", F.col("lost").isNull()).withColumn("owner", F.when(F.col("kept"), F.col("src")).otherwise(1 - F.col("src")))
+    own = own.select("src", *ORDER, "document_id", "stored", "kept", "owner", F.when(F.col("kept"), F.col("stored")).otherwise(F.lit(0)).cast("bigint").alias("add"))
+    return running_total(own, "add", ORDER, "before", by=["src"], label="mixture-keys").withColumn("key", _key(F.col("before"), scale)).drop("add", "before")
 
 
 def emission(merged: DataFrame, stored_total: int) -> DataFrame:

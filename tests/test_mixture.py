@@ -80,6 +80,47 @@ def test_as_the_loop(spark, seed):
         assert order == want[0] and used == want[1] and skips == want[2]
 
 
+@pytest.mark.parametrize("block", [50, M.BLOCK])
+@pytest.mark.parametrize("step", [1, 2])
+def test_many_shared_documents(spark, monkeypatch, block, step):
+    """Two sources with the same documents in the same order, the second with all or every other one, settle exactly, over any blocks."""
+    monkeypatch.setattr(M, "BLOCK", block)
+    r = random.Random(step)
+    names, length = [f"d{k}" for k in range(120)], [r.randint(0, 20) for _ in range(120)]
+    rows = [(0, k, k, names[k], length[k]) for k in range(120)] + [(1, k, 1000 + k, names[k], length[k]) for k in range(0, 120, step)]
+    order, used, skips = run(spark, rows, (150, 75))
+    want = sequential(rows, (150, 75), 226)
+    assert order == want[0] and used == want[1] and skips == want[2]
+
+
+def whole_settlement(rows, targets):
+    """Places lost by each source, by a loop over all documents."""
+    lists, at, used, seen, lost = [[x for x in rows if x[0] == s] for s in (0, 1)], [0, 0], [0, 0], set(), set()
+    while at[0] < len(lists[0]) or at[1] < len(lists[1]):
+        keys = [(max(used[0] - 1, 0) * targets[1], 0), (used[1] * targets[0], 1)]
+        s = min((k for k in keys if at[k[1]] < len(lists[k[1]])))[1]
+        x = lists[s][at[s]]
+        at[s] += 1
+        if x[3] in seen:
+            lost.add((s, x[3]))
+        else:
+            seen.add(x[3])
+            used[s] += x[4] + 1
+    return lost
+
+
+@pytest.mark.parametrize("block", [1300, M.BLOCK])
+def test_thousands_of_shared_documents_settle(spark, monkeypatch, block):
+    """More than rounds of guessing could settle; every document has one owner, also behind the end of one source."""
+    monkeypatch.setattr(M, "BLOCK", block)
+    r = random.Random(5)
+    length = [r.randint(0, 30) for _ in range(3000)]
+    rows = [(0, k, k, f"d{k}", length[k]) for k in range(3000)] + [(1, k, 10_000 + k, f"d{k}", length[k]) for k in range(2900)]
+    merged = M.merge(spark.createDataFrame([(*x, "t", 1) for x in rows], SCHEMA), (2, 1)).collect()
+    assert {(x.src, x.document_id) for x in merged if not x.kept} == whole_settlement(rows, (2, 1))
+    assert all(x.owner == (x.src if x.kept else 1 - x.src) for x in merged)
+
+
 def test_a_source_that_ends_is_an_error(spark):
     with pytest.raises(RuntimeError):
         run(spark, docs(0, ["a"]) + docs(1, ["b", "c", "d", "e", "f"]), (8, 4))
