@@ -86,7 +86,7 @@ def _lost(sides: list[Iterator[tuple[list[int], list[int], list[int]]]], n: int,
 
 
 def merge(rows: DataFrame, targets: tuple[int, int]) -> DataFrame:
-    """(src 0 or 1, ordinal, doc_id, document_id, n_tokens) -> the first row of each document in each source, with stored, kept, key and owner.
+    """(src 0 or 1, ordinal, doc_id, document_id, n_tokens) -> the first row of each document in each source, with stored, kept, key, owner, and the key its source goes on with (after).
 
     ``kept`` rows, in the order (key, src, ordinal, doc_id), are the mixture. (src, ordinal, doc_id) must be unique.
     Later copies take no part, however many a document has. All rows are ordered twice, once before and once
@@ -114,7 +114,7 @@ def merge(rows: DataFrame, targets: tuple[int, int]) -> DataFrame:
     lost = spark.read.schema("src int, pos bigint").parquet(path).join(shared, ["src", "pos"]).select("src", "document_id", F.lit(True).alias("lost"))
     own = everything.join(lost, ["src", "document_id"], "left").withColumn("kept", F.col("lost").isNull()).withColumn("owner", F.when(F.col("kept"), F.col("src")).otherwise(1 - F.col("src")))
     own = own.select("src", *ORDER, "document_id", "stored", "kept", "owner", F.when(F.col("kept"), F.col("stored")).otherwise(F.lit(0)).cast("bigint").alias("add"))
-    return running_total(own, "add", ORDER, "before", by=["src"], label="mixture-keys").withColumn("key", _key(F.col("before"), scale)).drop("add", "before")
+    return running_total(own, "add", ORDER, "before", by=["src"], label="mixture-keys").withColumn("key", _key(F.col("before"), scale)).withColumn("after", _key(F.col("before") + F.col("add"), scale)).drop("add", "before")
 
 
 def emission(merged: DataFrame, stored_total: int) -> DataFrame:
@@ -126,17 +126,23 @@ def emission(merged: DataFrame, stored_total: int) -> DataFrame:
     cut = materialize(kept.where(F.col("off") < stored_total), "emission-cut")
     if (cut.agg(F.max(F.col("off") + F.col("stored"))).first()[0] or 0) < stored_total:
         raise RuntimeError("both sources ended before the mixture was complete")
+    ended = [r.src for r in exhausted(merged, cut).collect()]  # two sources
+    if ended:
+        raise RuntimeError(f"source {ended[0]} ended before the mixture was complete")
     return cut.withColumn("n", F.least(F.col("stored"), F.lit(stored_total) - F.col("off")))
 
 
-def exhausted(merged: DataFrame, emitted: DataFrame, targets: tuple[int, int]) -> DataFrame:
-    """Sources whose turn came, before the last emitted document, when they had none left."""
-    g = gcd(*targets)
-    total = merged.where("kept").groupBy("src").agg(F.sum("stored").alias("t"))
-    end = total.withColumn("key", F.when(F.col("src") == 0, (F.col("t") - 1) * (targets[1] // g)).otherwise(F.col("t") * (targets[0] // g)))
+def exhausted(merged: DataFrame, emitted: DataFrame, targets: tuple[int, int] | None = None) -> DataFrame:
+    """Sources whose turn came, before the last emitted document, when they had none left; also one that has no documents at all.
+
+    The keys of ``merged`` are by its own targets; ``targets`` are not needed.
+    """
     last = emitted.agg(F.max(F.struct("key", "src")).alias("last")).first().last
+    both = merged.sparkSession.createDataFrame([(0,), (1,)], "src int")
     if last is None:
-        return end.limit(0).select("src")
+        return both.limit(0)
+    total = merged.where("kept").groupBy("src").agg(F.max("after").alias("key"))
+    end = both.join(F.broadcast(total), "src", "left").withColumn("key", F.coalesce("key", F.lit(0)))
     return end.where((F.col("key") < last.key) | ((F.col("key") == last.key) & (F.col("src") < last.src))).select("src")
 
 

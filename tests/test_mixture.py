@@ -126,6 +126,16 @@ def test_a_source_that_ends_is_an_error(spark):
         run(spark, docs(0, ["a"]) + docs(1, ["b", "c", "d", "e", "f"]), (8, 4))
 
 
+@pytest.mark.parametrize("first, second", [(["a"], "bcdef"), ("abcdef", ["g"]), ("abcdef", []), ("abc", "bcdefg")])
+def test_emission_itself_never_replaces_a_source(spark, first, second):
+    """Both together have enough, one alone, or what the other leaves it, has not."""
+    rows = docs(0, first) + docs(1, second)
+    assert sequential(rows, (12, 6), 19) is None
+    merged = M.merge(spark.createDataFrame([(*r, "t", 1) for r in rows], SCHEMA), (12, 6))
+    with pytest.raises(RuntimeError, match="source . ended"):
+        M.emission(merged, 19)
+
+
 def test_budgets(spark):
     rows = spark.createDataFrame([("train", k, k, "x" * 10) for k in range(10)] + [("validation", 3, 90, "yy")], "split string, ordinal int, doc_id int, text string")
     assert sorted(r.doc_id for r in C.byte_budget(rows, {"train": 25, "validation": 1}).collect()) == [0, 1, 2, 90]
