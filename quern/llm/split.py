@@ -2,8 +2,8 @@
 
 The words of a text carry prefix sums of their tokens, and a sorted array of boundaries with the end of each
 paragraph, line and sentence. A piece begins ``overlap`` tokens before the end of the last one; its end is found by
-binary search: the last strong boundary under the limit if it lies in the piece's further half, else the last
-word end, else a hard cut between two tokens.
+binary search: the last strong boundary under the limit, wherever it lies behind the last piece's end and the overlap,
+else the last word end, else a hard cut between two tokens. A sentence may end in closing quotes and brackets.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from quern.llm import tokens
 from quern.plans.runtime import spread
 
 _SENTENCE = (".", "!", "?", "…", "。", "！", "？")
+#: What may stand between the end of a sentence and the boundary.
+_CLOSING = "\"'”’»›)]}」』）】〉》"
 
 SCHEMA = "limit_name string, doc_id bigint, piece int, start_token int, end_token int, start_char int, end_char int, cut string"
 
@@ -47,7 +49,7 @@ class Splitter:
             if "\n" in w or "\r" in w:
                 if not nxt.isspace():
                     strong.append(k)
-            elif w.endswith(_SENTENCE) and (nxt[:1].isspace() or w[-1] in "。！？") and not ("\n" in nxt or "\r" in nxt):
+            elif (bare := w.rstrip(_CLOSING)).endswith(_SENTENCE) and (nxt[:1].isspace() or bare[-1] in "。！？") and not ("\n" in nxt or "\r" in nxt):
                 strong.append(k)
         self.strong = strong
         self.strong_tokens = [self.tokens[k] for k in strong]
@@ -92,7 +94,7 @@ class Splitter:
                 return out
             least = max(done, start + overlap)  # a piece must reach beyond the last one, and beyond where the next begins
             k = bisect_right(self.strong_tokens, start + limit) - 1
-            if k >= 0 and self.strong_tokens[k] > max(start + limit // 2, least):
+            if k >= 0 and self.strong_tokens[k] > least:
                 w, kind = self.strong[k], "sentence"
                 if "\n" in self.words[w - 1] or "\r" in self.words[w - 1]:
                     kind = "line"

@@ -51,6 +51,23 @@ def test_cuts_are_natural_where_they_can_be(spark):
             assert t[x.end_char - 1].isalnum() != t[x.end_char].isalnum() or t[x.end_char].isspace()
 
 
+def cuts(text, limit, overlap=0):
+    s = split.Splitter()
+    s.load(text)
+    return [(text[a:b], kind) for _, _, a, b, kind in s.cut(limit, overlap)]
+
+
+def test_the_last_strong_boundary_counts_wherever_it_lies():
+    assert cuts("Title\n" + "word " * 100, 64)[0] == ("Title\n", "line")
+    assert cuts("Short one. " + "word " * 100, 64, 2)[0] == ("Short one.", "sentence")
+    assert cuts("One. " + "word " * 100, 64, 3)[0][1] == "word"  # not beyond where the next piece begins
+
+
+@pytest.mark.parametrize("end", ['."', ".)", "?”", "!’", "。”", "…»", '.")', ".]"])
+def test_sentences_end_behind_closing_quotes_and_brackets(end):
+    assert cuts("He said so" + end + " " + "word " * 100, 64)[0] == ("He said so" + end, "sentence")
+
+
 def test_text_of_pieces_and_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c. " * 30, 1, "x", "y")], DOCS)
     limits = spark.createDataFrame([("a", 20, 3, 1), ("bad", None, 1, 1), ("zero", 0, 1, 1)], LIMITS)
