@@ -61,6 +61,12 @@ def examples(windowed: DataFrame) -> DataFrame:
     return windowed.select("window_id", F.slice("ids", F.lit(1), n).alias("inputs"), F.slice("ids", F.lit(2), n).alias("targets"))
 
 
+def next_token_example(stream: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """(off, n, ids) -> (window_id, inputs, targets) of the first window only; a stream that can't fill it is an error."""
+    window_count(stream.agg(F.sum("n")).first()[0] or 0, context)
+    return examples(windows(stream.where(F.col("off") <= context), context, wanted=stream.sparkSession.range(1).withColumnRenamed("id", "window_id")))
+
+
 def window_count(stored_total: int, context: int = CONTEXT) -> int:
     if stored_total < context + 1:
         raise ValueError("the stream is shorter than one window")

@@ -32,6 +32,16 @@ def test_end_after_every_document(spark):
     assert [x for r in rows for x in r.ids] == [10, 11, 99, 20, 21, 99] and [r.off for r in rows] == [0, 3]
 
 
+def test_next_token_example_is_the_first_window(spark):
+    docs = [([1, 2, 3], "a"), ([4, 5, 6, 7], "a"), ([8], "a")]
+    ids = flat(docs)
+    rows = P.next_token_example(stream_of(spark, docs), 6).collect()
+    assert [(r.inputs, r.targets) for r in rows] == [(ids[:6], ids[1:7])]
+    assert [(r.inputs, r.targets) for r in P.next_token_example(stream_of(spark, docs), len(ids) - 1).collect()] == [(ids[:-1], ids[1:])]
+    with pytest.raises(ValueError):
+        P.next_token_example(stream_of(spark, docs), len(ids))
+
+
 @pytest.mark.parametrize("context", [1, 4, 16])
 def test_windows_are_slices_of_the_stream(spark, context):
     docs = random_docs(context)
