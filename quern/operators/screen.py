@@ -1,36 +1,44 @@
 """Contamination screen: a document sharing any n-gram digest with the benchmark index is rejected.
 
-Membership is exact. An index of proven small size travels to the documents and only hits leave the scan;
-a larger one is joined by shuffle on the digest.
+Membership is exact. An index of proven small size travels to the documents and only hits leave the scan. Of a
+larger one a Bloom filter of bounded size travels; only digests that it may hold are shuffled, and joined exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.functions.sketch import Membership
+from quern.plans.runtime import materialize
 
 #: Most digests sent to the documents, of 32 bytes each.
 SHARED_DIGESTS = 500_000
+#: Most bytes of the filter of a larger index: two a digest up to 33 million. Beyond it more digests are shuffled, and answers stay exact.
+FILTER_BYTES = 1 << 26
 
 
-def ngrams(texts: DataFrame, width: int = T.NGRAM_WIDTH, known: DataFrame | None = None) -> DataFrame:
-    """(id, text) -> (id, value): a row for each distinct digest of a text, of those in ``known`` if given."""
-    spark = texts.sparkSession
-    shared = None if known is None else spark.sparkContext.broadcast(frozenset(bytes(r[0]) for r in known.collect()))
+def _hashes(digests: list[bytes]) -> np.ndarray:
+    """Digests are random already: their first eight bytes."""
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 4)[:, 0]
+
+
+def _grams(texts: DataFrame, width: int, chosen: Callable[[], Callable[[list[bytes]], list[bool]]] | None = None) -> DataFrame:
+    """(id, text) -> (id, value): a row for each distinct digest of a text, of those ``chosen`` if given."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if shared is None else shared.value
+        keep = chosen() if chosen else None
         for b in batches:
             ids, values = [], []
             for k, t in enumerate(b.column(1).to_pylist()):
-                found = T.ngram_digests(t, width) if t else ()
-                if wanted is not None and found:
-                    found = found & wanted
+                found = list(T.ngram_digests(t, width)) if t else []
+                if keep and found:
+                    found = [v for v, ok in zip(found, keep(found)) if ok]
                 ids.extend([k] * len(found)), values.extend(found)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(values, pa.binary())], names=["id", "value"])
 
@@ -38,6 +46,11 @@ def ngrams(texts: DataFrame, width: int = T.NGRAM_WIDTH, known: DataFrame | None
     return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, value binary")
 
 
+def ngrams(texts: DataFrame, width: int = T.NGRAM_WIDTH) -> DataFrame:
+    """(id, text) -> (id, value): a row for each distinct digest of a text."""
+    return _grams(texts, width)
+
+
 def build_index(texts: DataFrame, width: int = T.NGRAM_WIDTH) -> DataFrame:
     """Distinct digests of all texts of (id, text)."""
     return ngrams(texts, width).select("value").distinct()
@@ -54,12 +67,25 @@ def check_index(index: DataFrame) -> DataFrame:
     return index.where(F.coalesce(F.octet_length("value") != 32, F.lit(True)))
 
 
-def overlaps(texts: DataFrame, index: DataFrame, width: int = T.NGRAM_WIDTH, shared_digests: int = SHARED_DIGESTS) -> DataFrame:
-    """(id, value): each distinct digest of a text that is in the index."""
-    few = index.select("value").limit(shared_digests + 1).count() <= shared_digests
-    if few:
-        return ngrams(texts, width, known=index.select("value"))
-    return ngrams(texts, width).join(index.select("value"), "value", "left_semi").select("id", "value")
+def overlaps(texts: DataFrame, index: DataFrame, width: int = T.NGRAM_WIDTH, shared_digests: int = SHARED_DIGESTS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """(id, value): each distinct digest of a text that is in the index.
+
+    Null and empty texts have no digests; values of the index that are null or no digest match nothing.
+    """
+    sc = texts.sparkSession.sparkContext
+    known = index.select("value").where(F.octet_length("value") == 32)
+    few = known.limit(shared_digests + 1).collect()
+    if len(few) <= shared_digests:
+        exact = sc.broadcast(frozenset(bytes(r[0]) for r in few))
+        return _grams(texts, width, lambda: lambda found: [v in exact.value for v in found])
+    known = materialize(known, "screen-index")
+    bits = sc.broadcast(Membership.build(known, known.count(), lambda b: _hashes(b.column(0).to_pylist()), filter_bytes).bits)
+
+    def probe() -> Callable[[list[bytes]], list[bool]]:
+        index = Membership(bits.value)
+        return lambda found: index.might_contain(_hashes(found)).tolist()
+
+    return _grams(texts, width, probe).join(known, "value", "left_semi").select("id", "value")
 
 
 def decisions(documents: DataFrame, index: DataFrame, **options) -> DataFrame:

@@ -66,6 +66,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, label: str, buckets: int, key: str) -> DataFrame:
+    """As ``materialize``, in files by a hash of ``key``: joins and groups by it need no further shuffle.
+
+    ``df`` should come from ``repartition(buckets, key)``, so that each task writes one file.
+    """
+    spark = df.sparkSession
+    name = f"quern_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 #: Input bytes a core should have before a small table is spread over all cores.
 SPREAD_BYTES = 4 << 20
 
