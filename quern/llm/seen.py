@@ -1,12 +1,9 @@
 """Problem 6: has this key been seen before?
 
-Filter, then verify. The filter is an array over hashed keys that gives each arrival the answer a Bloom filter
-fed in order of arrival would give, though it is built in parallel: a slot keeps the first epoch (one of 16,382
-equal stretches of the order) in which any key touched it, and whether it was touched again in that epoch or
-later. An arrival with a slot not touched before its own epoch is new and decided at once. Of these,
-an arrival with a slot nobody else ever touched is done with; any other is kept as a witness. The rest go,
-with their full keys, to an exact lookup on disk, and each one disproved there is counted as a wrong answer
-of the filter.
+Filter, then verify. Keys are brought to shards by hash, as many as the number of keys asks for, and lie there on disk
+in order of key. Each shard's task feeds its arrivals, in order, to a Bloom filter of its own, which is all it holds in
+memory: an arrival with a bit not set before is new and decided at once. The rest are looked up among the full keys of
+their shard, which needs no further shuffle, and each one disproved there is counted as a wrong answer of the filter.
 """
 
 from __future__ import annotations
@@ -15,21 +12,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import sketch
+from quern.functions import sketch
 from quern.llm.words import mix
-from quern.plans.runtime import materialize
+from quern.plans.runtime import materialize_bucketed
 
-#: Most bytes of the broadcast filter. Beyond it more arrivals are verified; answers don't change.
+#: Keys of a shard, about, and the bits of its filter for each, before rounding up; the filter has a bit at PROBES places for a key.
+SHARD_KEYS, KEY_BITS, PROBES = 1 << 20, 12, 3
+#: Most bytes of a shard's filter. A smaller one has more arrivals verified; answers don't change.
 FILTER_BYTES = 1 << 25
-EPOCHS = 16_383
 KEY_BYTES = 32
-#: Slot: epoch * 4 + 2 (touched again within that epoch) + 1 (touched more than once at all), in 16 bits.
-_UNTOUCHED = 65_535
 
-_CLASSES = ("unique", "new", "positive", "repeat")
+NEW, POSITIVE, REPEAT = 0, 2, 3
 
 
 def _hash(keys: pa.Array) -> np.ndarray:
@@ -41,59 +38,52 @@ def _hash(keys: pa.Array) -> np.ndarray:
     return h
 
 
-def _merge(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slots touched by either; order of merging doesn't matter."""
-    ex, ey = x >> 2, y >> 2
-    both = (x != _UNTOUCHED) & (y != _UNTOUCHED)
-    return np.where(both, np.where(ex == ey, (x & 0xFFFC) | 3, np.where(ex < ey, x, y) | 1), np.minimum(x, y)).astype(np.uint16)
+def _places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    for k in range(PROBES):
+        yield ((h + np.uint64(k) * step) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _epoch(order: np.ndarray, low: int, span: int) -> np.ndarray:
-    """0 is kept for keys known before the first arrival."""
-    return np.where(order < low, 0, 1 + (order - low) * (EPOCHS - 2) // max(1, span)).astype(np.uint16)
+def _collapse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Within a batch the later arrivals of a key are repeats for certain.
 
-
-def _touch(slots: np.ndarray, epochs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slots touched in a batch and their bytes."""
-    order = np.lexsort((epochs, slots))
-    s, e = slots[order], epochs[order]
-    first = np.append(True, s[1:] != s[:-1])
-    start = np.flatnonzero(first)
-    size = np.diff(np.append(start, len(s)))
-    again = np.zeros(len(s), bool)
-    again[1:] = ~first[1:] & (e[1:] == e[:-1])
-    second = np.zeros(len(start), bool)
-    many = size > 1
-    second[many] = again[start[many] + 1]
-    return s[start], (e[start] * 4 + 2 * second + many).astype(np.uint16)
+    They go on with their row number in place of the key: a key that fills the batches is sent once for each of them.
+    """
+    for b in batches:
+        if not b.num_rows:
+            continue
+        order, codes = b.column(0).to_numpy(), b.column(1).dictionary_encode().indices.to_numpy()
+        at = np.lexsort((order, codes))
+        later = np.zeros(len(at), bool)
+        later[at[1:]] = codes[at[1:]] == codes[at[:-1]]
+        numbers = pa.Array.from_buffers(pa.binary(8), len(order), [None, pa.py_buffer(order.astype(np.int64).tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), pc.if_else(pa.array(later), numbers, b.column(1))], names=["row_id", "key"])
 
 
-def _classify(shared, low: int, span: int):
-    """Class of each arrival; within a batch only the first of a key is kept undecided, the others are repeats for certain."""
+def _probe(size: int):
+    """Class of each arrival of a shard, which come in order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = shared.value
+        held = np.zeros(size, np.uint8)
         for b in batches:
-            if not b.num_rows:
-                continue
-            order, h = b.column(0).to_numpy(), _hash(b.column(1))
-            epoch = _epoch(order, low, span)
-            touched = [slots[at] for at in sketch._slots(h, len(slots))]
-            alone = np.logical_or.reduce([(x & 1) == 0 for x in touched])
-            new = np.logical_or.reduce([((x >> 2) == epoch) & ((x & 2) == 0) for x in touched])
-            kind = np.where(alone, 0, np.where(new, 1, 2)).astype(np.int8)
-            keys = b.column(1).to_pylist()
-            undecided = np.flatnonzero(~alone)
-            first: dict[bytes, int] = {}
-            for k in undecided[np.argsort(order[undecided], kind="stable")].tolist():
-                if first.setdefault(keys[k], k) != k:
-                    kind[k] = 3
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k if c in (1, 2) else None for k, c in zip(keys, kind.tolist())], pa.binary()), pa.array(kind)], names=["row_id", "key", "kind"])
+            whole = pc.equal(pc.binary_length(b.column(1)), KEY_BYTES).to_numpy(zero_copy_only=False)
+            h = _hash(b.column(1).filter(pa.array(whole)))
+            new, touched = np.zeros(len(h), bool), []
+            for at in _places(h, size * 8):
+                first = np.zeros(len(h), bool)
+                first[np.unique(at, return_index=True)[1]] = True
+                new |= first & ((held[at >> 3] >> (at & 7)) & 1 == 0)
+                touched.append(at)
+            for at in touched:
+                np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            kind = np.full(len(whole), REPEAT, np.int8)
+            kind[whole] = np.where(new, NEW, POSITIVE)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kind)], names=["row_id", "key", "kind"])
 
     return run
 
 
-def decide(arrivals: DataFrame, known: DataFrame | None = None, *, filter_bytes: int = FILTER_BYTES, label: str = "p6") -> DataFrame:
+def decide(arrivals: DataFrame, known: DataFrame | None = None, *, filter_bytes: int = FILTER_BYTES, shard_keys: int = SHARD_KEYS, label: str = "p6") -> DataFrame:
     """(row_id, key) -> (row_id, filter_seen, seen) for each arrival with a key.
 
     ``arrivals`` gives a unique row_id in order of arrival and a key of 32 bytes; ``known`` the keys from before
@@ -102,28 +92,23 @@ def decide(arrivals: DataFrame, known: DataFrame | None = None, *, filter_bytes:
     """
     spark = arrivals.sparkSession
     rows = arrivals.select(F.col("row_id").cast("bigint").alias("row_id"), "key").where((F.octet_length("key") == KEY_BYTES) & F.col("row_id").isNotNull())
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("row_id"), F.max("row_id")).first()
+    n, low = rows.agg(F.count(F.lit(1)), F.min("row_id")).first()
     if not n:
         return spark.createDataFrame([], "row_id bigint, filter_seen boolean, seen boolean")
-    span = high - low + 1
-    everything = rows
     if known is not None:
-        before = known.where(F.octet_length("key") == KEY_BYTES).select("key").distinct()
-        everything = rows.unionByName(before.select(F.lit(low - 1).alias("row_id"), "key"))
-    size = sketch.power_of_two(3 * n, sketch.SEGMENT, filter_bytes // 2)
-
-    def update(own: np.ndarray, b: pa.RecordBatch) -> None:
-        epochs = _epoch(b.column(0).to_numpy(), low, span)
-        for at in sketch._slots(_hash(b.column(1)), size):
-            where, value = _touch(at, epochs)
-            own[where] = _merge(own[where], value)
-
-    slots = spark.sparkContext.broadcast(sketch.build(everything, size, (KEY_BYTES + 8) * n, update, _merge, _UNTOUCHED, np.uint16))
-    sorted_out = materialize(everything.mapInArrow(_classify(slots, low, span), "row_id bigint, key binary, kind tinyint"), f"{label}-classes")
-    decided = sorted_out.where((F.col("kind").isin(0, 3)) & (F.col("row_id") >= low)).select("row_id", (F.col("kind") == 3).alias("filter_seen"), (F.col("kind") == 3).alias("seen"))
-    # a key comes here at most once a batch, so no group is large however often a key repeats
-    first = F.row_number().over(Window.partitionBy("key").orderBy("row_id"))
-    verified = sorted_out.where(F.col("kind").isin(1, 2)).select("row_id", (F.col("kind") == 2).alias("filter_seen"), (first > 1).alias("seen")).where(F.col("row_id") >= low)
+        before = known.where(F.octet_length("key") == KEY_BYTES)
+        n += before.count()
+        rows = rows.unionByName(before.select(F.lit(low - 1).alias("row_id"), "key"))
+    shards = max(spark.sparkContext.defaultParallelism, -(-n // shard_keys))
+    size = sketch.power_of_two(n * KEY_BITS // 8 // shards, 64, filter_bytes)
+    brought = rows.mapInArrow(_collapse, "row_id bigint, key binary").repartition(shards, "key").sortWithinPartitions("row_id")
+    store = materialize_bucketed(brought.mapInArrow(_probe(size), "row_id bigint, key binary, kind tinyint"), label, shards, "key")
+
+    arrived = store.where(F.col("row_id") >= low)
+    decided = arrived.where(F.col("kind") != POSITIVE).select("row_id", (F.col("kind") == REPEAT).alias("filter_seen"), (F.col("kind") == REPEAT).alias("seen"))
+    # within the shards: a key comes there at most once a batch, so no group is large however often a key repeats
+    firsts = store.where(F.col("kind") != REPEAT).groupBy("key").agg(F.min("row_id").alias("first"), F.max("kind").alias("most")).where(F.col("most") == POSITIVE).select("key", "first")
+    verified = arrived.where(F.col("kind") == POSITIVE).join(firsts, "key").select("row_id", F.lit(True).alias("filter_seen"), (F.col("row_id") > F.col("first")).alias("seen"))
     return decided.unionByName(verified)
 
 
@@ -141,6 +126,7 @@ def streams(ngram_hashes: DataFrame, ngram_index: DataFrame, documents: DataFram
 
 
 def found(ngram_hashes: DataFrame, ngram_index: DataFrame, documents: DataFrame) -> DataFrame:
+    """(stream, row_id) of each arrival whose key came before."""
     parts = [df.where("seen").select(F.lit(name).alias("stream"), "row_id") for name, df in streams(ngram_hashes, ngram_index, documents).items()]
     return parts[0].unionByName(parts[1])
 

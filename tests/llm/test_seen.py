@@ -41,6 +41,16 @@ def test_decisions_are_exact(spark, seed, filter_bytes, monkeypatch):
     assert not any(x.seen and not x.filter_seen for x in got), "the filter never calls a seen key new"
 
 
+def test_many_shards_and_a_key_in_most_rows(spark):
+    """More shards than cores, and a key that is three quarters of all rows: sent at most once for each batch."""
+    r = random.Random(5)
+    hot = r.randbytes(32)
+    rows = [(k, hot if r.random() < 0.75 else r.randbytes(32) if r.random() < 0.5 else bytes([r.randrange(40)]) * 32, None, 1) for k in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = seen.decide(df, df.where("row_id % 97 = 0").select("key"), shard_keys=200).collect()
+    assert {x.row_id: x.seen for x in got} == brute(rows, {k for i, k, *_ in rows if i % 97 == 0}) and len(got) == len(rows)
+
+
 def test_most_new_keys_are_decided_by_the_filter(spark):
     r = random.Random(9)
     rows = [(k, r.randbytes(32), None, None) for k in range(4000)]
