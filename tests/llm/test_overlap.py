@@ -48,6 +48,26 @@ def test_tiny_sketch_changes_nothing(spark, monkeypatch):
     assert {tuple(x) for x in overlap.found(spark.createDataFrame(rows, SCHEMA), sketch_bytes=1 << 10).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("frequent", [overlap.FREQUENT, 3])
+def test_exact_counts_of_frequent_shingles(spark, monkeypatch, frequent):
+    """A phrase in every text and cells shared by many shingles: saturated counts give way to exact ones, as many as may be sent."""
+    from quern.functions import sketch
+
+    monkeypatch.setattr(sketch, "SEGMENT", 64)
+    rows = [(d, t and f"always the same few words {t}", *x) for d, t, *x in rows_of(6, 700)]
+    got = [tuple(x) for x in overlap.found(spark.createDataFrame(rows, SCHEMA), sketch_bytes=128, frequent=frequent).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+def test_divided_shingles_and_classes(spark, monkeypatch):
+    """Whatever has more than two rows is joined in parts."""
+    monkeypatch.setattr(overlap, "HOT_ROWS", 2)
+    text = " ".join(f"h{k}" for k in range(40))
+    rows = [(k, text, "train" if k % 3 else "test", "s", "x", 1, 2) for k in range(50)] + [(d, t and f"{t} one more phrase", *x) for d, t, *x in rows_of(7)[50:]]
+    got = [tuple(x) for x in overlap.found(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
 def test_hot_class(spark):
     """A third of all rows are one text, on both sides: every pair comes out once."""
     text = " ".join(f"h{k}" for k in range(40))
