@@ -103,11 +103,16 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row of ``patterns`` the half-open range of suffixes that begin with it."""
-        n = len(patterns)
+        n, width = patterns.shape
+        return self.search_at(patterns.ravel(), np.arange(n) * width, width)
+
+    def search_at(self, flat: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the runs of ``width`` symbols of ``flat`` that begin at ``starts``."""
+        n = len(starts)
         low, high = np.zeros(n, np.int64), np.full(n, self.tree.n, np.int64)
         alive = np.arange(n)
-        for k in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[alive, k].astype(np.int64)
+        for k in range(width - 1, -1, -1):
+            c = flat[starts[alive] + k].astype(np.int64)
             low[alive] = self.before[c] + self.tree.rank(c, low[alive])
             high[alive] = self.before[c] + self.tree.rank(c, high[alive])
             alive = alive[low[alive] < high[alive]]

@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_copies": _on(lambda d: copies.form_copies(d)[0], "documents"),
         "p4_found": _on(leakage.found, "documents", "benchmark"),
         "p4_spans": _on(leakage.leaks, "documents", "benchmark"),
+        "p4_removed": _on(leakage.removed, "documents", "benchmark"),
         "p5_windows": _on(packing.pack, "token_docs", "size_limits"),
         "p5_room": _on(packing.room, "token_docs", "size_limits"),
         "p6_found": _on(seen.found, "ngram_hashes", "ngram_index", "documents"),

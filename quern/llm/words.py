@@ -10,8 +10,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
+import regex
 import xxhash
 
 #: ``[^\W_]`` is exactly the categories L and N (tested over all code points).
@@ -28,6 +31,34 @@ def words(text: str) -> list[str]:
     return WORD.findall(fold(text))
 
 
+#: Places at which a text may be cut so that the parts fold as the whole does: clusters, else before ASCII that is no letter or digit.
+_CUTS = (regex.compile(r"\X").findall, regex.compile(r"[^\x00-/:-@\[-`{-\x7f]+|[\x00-/:-@\[-`{-\x7f][^\x00-/:-@\[-`{-\x7f]*").findall)
+
+
+def word_spans(text: str) -> tuple[list[int], list[int]]:
+    """Where each word of ``words(text)`` begins and ends in the text itself.
+
+    Where folding makes several characters of what can't be cut, the whole of it counts to each of its words.
+    """
+    if text.isascii():
+        found = [m.span() for m in WORD.finditer(text)]
+        return [a for a, _ in found], [b for _, b in found]
+    folded = fold(text)
+    for cut in _CUTS:
+        parts = cut(text)
+        own = [fold(x) for x in parts]
+        if "".join(own) == folded:
+            break
+    else:
+        parts, own = [text], [folded]
+    at, raw = [0, *accumulate(map(len, own))], [0, *accumulate(map(len, parts))]
+    starts, ends = [], []
+    for m in WORD.finditer(folded):
+        starts.append(raw[bisect_right(at, m.start()) - 1])
+        ends.append(raw[bisect_left(at, m.end())])
+    return starts, ends
+
+
 class _Hashes(dict):
     """word -> 64-bit hash, computed at the first sight of a word."""
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -44,6 +45,39 @@ def test_leaks_are_brute_force(spark, seed, options):
     assert len(got) == len(set(got)) and set(got) == brute(docs, items)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_rows_and_spans_whatever_the_blocks(spark, seed):
+    docs, items = tables(seed)
+    docs += docs[10:30]  # rows again
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    one = sorted(leakage.leaks(d, i).collect())
+    assert len({r.doc_id for r in one}) == len(one) > 0
+    assert one == sorted(leakage.leaks(d.repartition(5), i, block_chars=300).collect()) == sorted(leakage.leaks(d, i, block_chars=100, shard_words=50).collect())
+
+
+def brute_chars(text, phrases, width=13):
+    """Characters of each occurrence, by folding every word of the raw text."""
+    w = [(m.group(), m.span()) for m in re.finditer(r"\S+", text)]
+    low = [x for x, _ in w]
+    return {k for a in range(len(w) - width + 1) if tuple(low[a : a + width]) in phrases for k in range(w[a][1][0], w[a + width - 1][1][1])}
+
+
+def test_characters_are_brute_force_and_removal_cuts_them(spark):
+    docs, items = tables(6)
+    docs = [(d, t and re.sub(r"[;\n]", " ", t), *x) for d, t, *x in docs]
+    phrases = {tuple(w[k : k + 13]) for _, t, _ in items if t for w in [t.split()] for k in range(len(w) - 12)}
+    got = {r.doc_id: {k for s in r.chars for k in range(s.start, s.end)} for r in leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    want = {d: brute_chars(t, phrases) for d, t, *_ in docs if t}
+    assert {d: len(c) for d, c in want.items() if c} == {d: len(c & want[d]) for d, c in got.items()}
+    for d, c in got.items():  # touching passages are one span with the blanks between
+        text = next(t for k, t, *_ in docs if k == d)
+        assert all(text[k] == " " for k in c - want[d])
+    rest = {r.doc_id: (r.text, r.removed) for r in leakage.removed(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    for d, t, *_ in docs:
+        kept = t and "".join(x for k, x in enumerate(t) if k not in got.get(d, ()))
+        assert rest[d] == (kept, None if t is None else len(t) - len(kept))
+
+
 def test_spans_are_merged(spark):
     w = [f"q{k}" for k in range(30)]
     docs = [(1, "a b " + " ".join(w[:20]) + " c " + " ".join(w[10:23]), "x", 1)]
