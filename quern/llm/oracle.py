@@ -27,5 +27,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_sample": f"WITH {P2_SEQUENCE} SELECT document_id, split, first_batch, records, seq FROM chosen WHERE selected",
         "p2_growth": f"""WITH {P2_SEQUENCE}, each AS (SELECT split, first_batch, count(*) AS new_keys, count(*) FILTER (selected) AS new_selected FROM chosen GROUP BY ALL)
           SELECT *, CAST(sum(new_keys) OVER (PARTITION BY split ORDER BY first_batch) AS BIGINT) AS keys, CAST(sum(new_selected) OVER (PARTITION BY split ORDER BY first_batch) AS BIGINT) AS selected FROM each""",
+        "p5_totals": """WITH items AS (SELECT seq, max(len(ids)) AS n FROM token_docs WHERE seq IS NOT NULL AND len(ids) > 0 GROUP BY seq), limits AS (SELECT DISTINCT max_tokens FROM size_limits WHERE max_tokens > 0)
+          SELECT max_tokens, count(*) AS items, CAST(sum((n + max_tokens - 1) // max_tokens) AS BIGINT) AS parts, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (n > max_tokens) AS items_cut,
+            CAST(0 AS BIGINT) AS over_tokens, CAST(0 AS BIGINT) AS over_places, CAST(0 AS BIGINT) AS over_cost, CAST(0 AS BIGINT) AS misstated FROM items, limits GROUP BY max_tokens""",
         "p6_found": f"WITH {P6_KEYS} SELECT stream, row_id FROM seen WHERE seen",
     }

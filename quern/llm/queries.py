@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_removed": _on(leakage.removed, "documents", "benchmark"),
         "p5_windows": _on(packing.pack, "token_docs", "size_limits"),
         "p5_room": _on(packing.room, "token_docs", "size_limits"),
+        "p5_totals": _on(packing.totals, "token_docs", "size_limits"),
         "p6_found": _on(seen.found, "ngram_hashes", "ngram_index", "documents"),
         "p6_error_rates": _on(seen.error_rates, "ngram_hashes", "ngram_index", "documents"),
         "p7_ids": _on(encode.encode, "documents"),

@@ -62,3 +62,21 @@ def test_nothing(spark):
 
 def test_best_fit_prefers_the_tightest_window():
     assert packing.best_fit(np.array([7, 6, 4, 3]), 10, 9, 10**6).tolist() == [0, 1, 1, 0]
+
+
+def test_an_item_beyond_the_cost_stands_alone():
+    assert packing.best_fit(np.array([100, 60, 40]), 100, 64, 5000).tolist() == [0, 1, 2]
+    assert packing.best_fit(np.array([100, 60, 40, 30]), 100, 64, 6000).tolist() == [0, 1, 1, 2]
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_the_cost_capacity_binds(spark, score):
+    """Windows of several items stay below it, items above it are whole and alone, and some pair is kept apart by it alone."""
+    rows = [(k, [1] * n, None, 0, 0) for k, n in enumerate([96, 4] * 30 + [50, 50] * 30 + [70, 30] * 20)]
+    got = packing.pack(spark.createDataFrame(rows, ITEMS), spark.createDataFrame([("w", 100, 0, 1)], LIMITS), cost_factor=0.55, score=score).collect()
+    windows = defaultdict(list)
+    for x in got:
+        windows[x.window_id].append(x.n_tokens)
+    assert sorted(n for w in windows.values() for n in w) == sorted(len(i) for _, i, *_ in rows)
+    assert all(len(w) == 1 or sum(n * n for n in w) <= 5500 for w in windows.values())
+    assert all(len(w) == 1 for w in windows.values() if 96 in w) and not any(sorted(w) == [30, 70] for w in windows.values())
