@@ -27,6 +27,14 @@ def oracle_sql() -> dict[str, str]:
         "p2_sample": f"WITH {P2_SEQUENCE} SELECT document_id, split, first_batch, records, seq FROM chosen WHERE selected",
         "p2_growth": f"""WITH {P2_SEQUENCE}, each AS (SELECT split, first_batch, count(*) AS new_keys, count(*) FILTER (selected) AS new_selected FROM chosen GROUP BY ALL)
           SELECT *, CAST(sum(new_keys) OVER (PARTITION BY split ORDER BY first_batch) AS BIGINT) AS keys, CAST(sum(new_selected) OVER (PARTITION BY split ORDER BY first_batch) AS BIGINT) AS selected FROM each""",
+        "p2_stability": """WITH own AS (
+            SELECT coalesce(regexp_replace(lower(trim(document_id, ' ' || chr(9) || chr(10) || chr(13))), '^sha256:\\s*', ''), 'row:' || doc_id) AS document_id, coalesce(lower(trim(split, ' ' || chr(9) || chr(10) || chr(13))), '') AS split,
+                   coalesce(ingest_batch, 2147483647) AS batch, (coalesce(ingest_batch, 0) + (doc_id % 7 = 0)::INT)::INT AS comes FROM documents),
+          firsts AS (SELECT *, min(comes) OVER (PARTITION BY document_id, split) AS came FROM own),
+          keys AS (SELECT document_id, split, came, min(batch) AS batch FROM firsts WHERE comes = came GROUP BY ALL),
+          numbered AS (SELECT came, row_number() OVER (PARTITION BY split ORDER BY came, batch, sha256('quern-sample-1' || chr(31) || split || chr(31) || document_id), document_id) - 1 AS seq FROM keys),
+          deliveries AS (SELECT DISTINCT comes AS delivery FROM own)
+          SELECT delivery, count(*) AS keys, count(*) FILTER (((seq % 2147483648) * 1327217885 + 715827883) % 2147483648 < 214748365) AS selected, CAST(0 AS BIGINT) AS lost FROM deliveries JOIN numbered ON came <= delivery GROUP BY delivery""",
         "p5_totals": """WITH items AS (SELECT seq, max(len(ids)) AS n FROM token_docs WHERE seq IS NOT NULL AND len(ids) > 0 GROUP BY seq), limits AS (SELECT DISTINCT max_tokens FROM size_limits WHERE max_tokens > 0)
           SELECT max_tokens, count(*) AS items, CAST(sum((n + max_tokens - 1) // max_tokens) AS BIGINT) AS parts, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (n > max_tokens) AS items_cut,
             CAST(0 AS BIGINT) AS over_tokens, CAST(0 AS BIGINT) AS over_places, CAST(0 AS BIGINT) AS over_cost, CAST(0 AS BIGINT) AS misstated FROM items, limits GROUP BY max_tokens""",

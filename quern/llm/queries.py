@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_report": _on(overlap.report, "documents"),
         "p2_sample": _on(sample.sample, "documents"),
         "p2_growth": _on(sample.growth, "documents"),
+        "p2_stability": _on(sample.stability, "documents"),
         "p3_found": _on(lambda d: copies.form_copies(d)[1], "documents"),
         "p3_copies": _on(lambda d: copies.form_copies(d)[0], "documents"),
         "p4_found": _on(leakage.found, "documents", "benchmark"),

@@ -27,6 +27,34 @@ def test_selected_records_stay_selected(spark):
     assert len(states[0]) < len(states[-1])
 
 
+def test_rows_without_a_delivery_stay_too(spark):
+    """Keys that name no delivery have numbers of their own, which no later delivery moves."""
+    rows = [(f"{k:064x}", "train", k, 1 if k % 2 else None, 1, 1, "x") for k in range(60)]
+    more = rows + [(f"{k:064x}", "train", k, 2, 1, 1, "x") for k in range(60, 77)]
+    before, after = chosen(spark, rows), chosen(spark, more)
+    assert before.items() <= after.items() and any(k >= 1 << 62 for k in before.values())
+
+
+def test_numbers_in_a_table(spark, tmp_path):
+    """Late rows, rows without a delivery and deliveries that come again change no number; numbers have no gap."""
+    rows, path = rows_of(4), str(tmp_path / "numbers")
+    late = [x for k, x in enumerate(rows) if k % 5 == 0]
+    lacking = [(*x[:3], None, *x[4:]) for k, x in enumerate(rows) if k % 11 == 1]
+    deliveries = [[x for x in rows if x[3] == k and x not in late] for k in (1, 2)] + [late, lacking, [x for x in rows if x[3] == 2], rows]
+    before = {}
+    for own in deliveries:
+        for _ in range(2):
+            got = sample.extend(spark.createDataFrame(own, SCHEMA).repartition(2), path).collect()
+            now = {(x.document_id, x.split): x.seq for x in got}
+            assert len(now) == len(got) and before.items() <= now.items()
+            for s in {x.split for x in got}:
+                assert sorted(x.seq for x in got if x.split == s) == list(range(sum(x.split == s for x in got)))
+            before = now
+    assert set(before) == {(x.document_id, x.split) for x in sample.sequence(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sample.extend(spark.createDataFrame([], SCHEMA), path).count() == len(before)
+    assert 0 < sample.selected(sample.table(spark, path)).count() < len(before)
+
+
 def test_same_on_every_layout_and_group_size(spark, monkeypatch):
     rows = rows_of(2)
     first = chosen(spark, rows, 1)
