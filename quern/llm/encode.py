@@ -1,7 +1,7 @@
 """Problem 7: encoding of the whole corpus.
 
 Distinct-word table: texts are split into pre-token words in Spark, the words counted, and each distinct
-word that occurs more than once encoded once; the table of the most frequent ones, of bounded size, is
+word of a table of the most frequent ones, of bounded size, is encoded once, where its hash partition lies; the table is
 broadcast and each text's ids are put together by the position of its words. Words beyond the bound are rare,
 and are encoded where they stand. Decoding joins ids to their pieces.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import tokens
-from quern.plans.runtime import spread
+from quern.plans.runtime import materialize, spread
 
 #: Most words in the broadcast table; with words of at most tokens.WORD_CHARS characters this bounds its bytes.
 TABLE_WORDS = 100_000
@@ -55,9 +55,22 @@ def _encode_words(folder: str):
 
 
 def word_table(texts: DataFrame, folder: str = tokens.TOKENIZERS, most: int = TABLE_WORDS) -> DataFrame:
-    """(word, ids as packed int32) of the ``most`` most frequent words that occur more than once in the column ``text``."""
+    """(word, ids as packed int32) of at most ``most`` words that occur more than once in the column ``text``: all of at least some count.
+
+    The least count is read off how many words have each, by sixteenths of a power of two; nothing is sorted, and each
+    word is encoded where it was counted.
+    """
     counted = texts.select("text").where("text is not null").mapInArrow(_count_words(folder), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return counted.orderBy(F.desc("n"), "word").limit(most).select("word").mapInArrow(_encode_words(folder), "word string, ids binary")
+    counted = materialize(counted.withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "p7-words")
+    least, total = None, 0
+    for step, n in sorted(((r.step, r.n) for r in counted.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):  # at most 16 * 63 rows
+        total += n
+        if total > most:
+            break
+        least = step
+    if least is None:
+        return texts.sparkSession.createDataFrame([], "word string, ids binary")
+    return counted.where(F.col("step") >= least).select("word").mapInArrow(_encode_words(folder), "word string, ids binary")
 
 
 def _encode_texts(shared, folder: str):
@@ -104,7 +117,12 @@ def decode(encoded: DataFrame, folder: str = tokens.TOKENIZERS) -> DataFrame:
 
 def round_trip(documents: DataFrame) -> DataFrame:
     """(doc_id, n_ids, same) of every document: whether decoding its ids gives its text again."""
-    encoded = encode(documents)
+    encoded = materialize(encode(documents), "p7-ids")
     back = decode(encoded)
     sizes = encoded.select("doc_id", F.size("ids").alias("n_ids"))
     return documents.select("doc_id", "text").join(sizes, "doc_id").join(back, "doc_id").select("doc_id", "n_ids", (F.encode(F.coalesce("text", F.lit("")), "UTF-8") == F.col("bytes")).alias("same"))
+
+
+def decoded(documents: DataFrame) -> DataFrame:
+    """(doc_id, digest) of every document: SHA-256 of what its ids decode to."""
+    return decode(encode(documents)).select("doc_id", F.sha2("bytes", 256).alias("digest"))

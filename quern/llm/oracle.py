@@ -38,5 +38,9 @@ def oracle_sql() -> dict[str, str]:
         "p5_totals": """WITH items AS (SELECT seq, max(len(ids)) AS n FROM token_docs WHERE seq IS NOT NULL AND len(ids) > 0 GROUP BY seq), limits AS (SELECT DISTINCT max_tokens FROM size_limits WHERE max_tokens > 0)
           SELECT max_tokens, count(*) AS items, CAST(sum((n + max_tokens - 1) // max_tokens) AS BIGINT) AS parts, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (n > max_tokens) AS items_cut,
             CAST(0 AS BIGINT) AS over_tokens, CAST(0 AS BIGINT) AS over_places, CAST(0 AS BIGINT) AS over_cost, CAST(0 AS BIGINT) AS misstated FROM items, limits GROUP BY max_tokens""",
+        "p7_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents",
         "p6_found": f"WITH {P6_KEYS} SELECT stream, row_id FROM seen WHERE seen",
+        "p8_checks": r"""WITH there AS (SELECT DISTINCT lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS source FROM documents WHERE length(text) > 0),
+          wanted AS (SELECT lower(trim(source)) AS source, sum(weight) AS weight FROM mix_targets GROUP BY 1)
+          SELECT source, weight, CAST(0 AS BIGINT) AS over_cap, coalesce(source IN (FROM there WHERE source IS NOT NULL), false) AS met FROM wanted""",
     }

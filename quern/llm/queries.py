@@ -37,7 +37,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_error_rates": _on(seen.error_rates, "ngram_hashes", "ngram_index", "documents"),
         "p7_ids": _on(encode.encode, "documents"),
         "p7_round_trip": _on(encode.round_trip, "documents"),
+        "p7_decoded": _on(encode.decoded, "documents"),
         "p8_mixture": _on(mixture.documents_mixed, "documents", "mix_targets"),
         "p8_shares": _on(mixture.shares, "documents", "mix_targets"),
+        "p8_residuals": _on(mixture.residuals, "documents", "mix_targets"),
+        "p8_checks": _on(mixture.checks, "documents", "mix_targets"),
         "p9_pieces": _on(split.pieces, "documents", "size_limits"),
     }
