@@ -16,6 +16,8 @@ _FOLDED = "lower(nfc_normalize(translate(text, '０１２３４５６７８９',
 for _from, _to in (("ß", "ss"), ("…", "..."), ("ﬁ", "fi"), ("ﬂ", "fl"), ("™", "tm"), ("¼", "1⁄4")):
     _FOLDED = f"replace({_FOLDED}, '{_from}', '{_to}')"
 
+#: ``text`` so folded, and white space, for other SQL over the same tables.
+FOLDED, SPACE = _FOLDED, _SPACE
 
 
 def _name(column: str) -> str:
