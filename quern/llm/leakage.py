@@ -176,6 +176,11 @@ def found(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
     return leaks(documents, items, **options).select("doc_id", F.explode("items").alias("item_id"))
 
 
+def by_item(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """(item_id, documents) of each item that leaked."""
+    return found(documents, items, **options).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def _without(text: str, spans: str) -> Column:
     """The text without the characters of the spans, which are in order."""
     ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x.end))

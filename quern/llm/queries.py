@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": _on(lambda d: copies.form_copies(d)[1], "documents"),
         "p3_copies": _on(lambda d: copies.form_copies(d)[0], "documents"),
         "p4_found": _on(leakage.found, "documents", "benchmark"),
+        "p4_items": _on(leakage.by_item, "documents", "benchmark"),
         "p4_spans": _on(leakage.leaks, "documents", "benchmark"),
         "p4_removed": _on(leakage.removed, "documents", "benchmark"),
         "p5_windows": _on(packing.pack, "token_docs", "size_limits"),
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_totals": _on(packing.totals, "token_docs", "size_limits"),
         "p6_found": _on(seen.found, "ngram_hashes", "ngram_index", "documents"),
         "p6_error_rates": _on(seen.error_rates, "ngram_hashes", "ngram_index", "documents"),
+        "p6_totals": _on(seen.totals, "ngram_hashes", "ngram_index", "documents"),
         "p7_ids": _on(encode.encode, "documents"),
         "p7_round_trip": _on(encode.round_trip, "documents"),
         "p7_decoded": _on(encode.decoded, "documents"),
@@ -43,4 +45,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_residuals": _on(mixture.residuals, "documents", "mix_targets"),
         "p8_checks": _on(mixture.checks, "documents", "mix_targets"),
         "p9_pieces": _on(split.pieces, "documents", "size_limits"),
+        "p9_checks": _on(split.checks, "documents", "size_limits"),
     }

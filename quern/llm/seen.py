@@ -138,3 +138,8 @@ def error_rates(ngram_hashes: DataFrame, ngram_index: DataFrame, documents: Data
         for name, df in streams(ngram_hashes, ngram_index, documents).items()
     ]
     return parts[0].unionByName(parts[1]).withColumn("wrong_rate", (F.col("wrong_seen") + F.col("wrong_new")) / F.greatest("arrivals", F.lit(1)))
+
+
+def totals(ngram_hashes: DataFrame, ngram_index: DataFrame, documents: DataFrame) -> DataFrame:
+    """Of each stream: arrivals with a key, those seen before, and those of them that the filter called new."""
+    return error_rates(ngram_hashes, ngram_index, documents).select("stream", "arrivals", "seen", "wrong_new")

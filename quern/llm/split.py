@@ -13,11 +13,11 @@ from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm import tokens
-from quern.plans.runtime import spread
+from quern.llm import encode, tokens
+from quern.plans.runtime import materialize, spread
 
 _SENTENCE = (".", "!", "?", "…", "。", "！", "？")
 #: What may stand between the end of a sentence and the boundary.
@@ -156,3 +156,31 @@ def pieces(documents: DataFrame, limits: DataFrame, *, id_col: str = "doc_id", t
 def with_text(documents: DataFrame, cut: DataFrame) -> DataFrame:
     """Pieces with their text; doc_id must be unique."""
     return cut.join(documents.select("doc_id", "text"), "doc_id").withColumn("piece_text", F.expr("substring(text, start_char + 1, end_char - start_char)")).drop("text")
+
+
+def checks(documents: DataFrame, limits: DataFrame) -> DataFrame:
+    """Of each limit: pieces beyond it, pieces that leave a gap to the one before or the text's ends, pieces that share too little or too much with the one before, and whether just the larger texts are cut.
+
+    Which texts are larger is told by encoding all of them.
+    """
+    spark = documents.sparkSession
+    own = limits.select("limit_name", "max_tokens", F.least(F.greatest(F.coalesce("overlap_tokens", F.lit(0)), F.lit(0)), F.col("max_tokens") - 1).alias("overlap")).where("max_tokens >= 1")
+    cut = materialize(pieces(documents, limits), "p9-pieces")
+    sizes = materialize(encode.encode(documents).select("doc_id", F.size("ids").alias("n_tokens")).join(documents.select("doc_id", F.length("text").alias("n_chars")), "doc_id"), "p9-sizes")
+    before = Window.partitionBy("limit_name", "doc_id").orderBy("piece")
+    x = cut.withColumn("was", F.lag("end_token").over(before)).withColumn("was_char", F.lag("end_char").over(before)).withColumn("last", F.lead("piece").over(before).isNull())
+    x = x.join(F.broadcast(own), "limit_name").join(sizes, "doc_id")
+    shared = F.col("was") - F.col("start_token")
+    gap = (F.col("start_char") > F.coalesce("was_char", F.lit(0))) | (F.col("start_token") > F.coalesce("was", F.lit(0))) | (F.col("last") & ((F.col("end_char") != F.col("n_chars")) | (F.col("end_token") != F.col("n_tokens"))))
+    bad = x.groupBy("limit_name").agg(
+        F.count_if(F.col("end_token") - F.col("start_token") > F.col("max_tokens")).alias("over"),
+        F.count_if(gap).alias("gaps"),
+        F.count_if((shared < F.col("overlap")) | (shared > F.col("overlap") + 3)).alias("other_overlap"),
+        F.count_if(F.col("n_tokens") <= F.col("max_tokens")).alias("needless"),
+        F.count_distinct("doc_id").alias("texts"),
+    )
+    each = [r.max_tokens for r in own.select("max_tokens").distinct().collect()]  # a parameter table
+    larger = sizes.agg(*[F.count_if(F.col("n_tokens") > m).alias(str(m)) for m in each] or [F.count(F.lit(1))]).first().asDict()
+    larger = spark.createDataFrame([(m, larger[str(m)]) for m in each], "max_tokens int, larger bigint")
+    out = own.join(bad, "limit_name", "left").join(larger, "max_tokens").na.fill(0, ["over", "gaps", "other_overlap", "needless", "texts"])
+    return out.select("limit_name", "over", "gaps", "other_overlap", ((F.col("needless") == 0) & (F.col("texts") == F.col("larger"))).alias("texts_match"))
