@@ -41,8 +41,9 @@ def bits_per_byte(nll: Column, n_bytes: Column) -> Column:
     return nll / F.log(F.lit(2.0)) / n_bytes
 
 
-# The published decision thresholds, in nat.
+# The published decision thresholds, in nat, and the names of the decisions.
 WIN, TIE, REGRESSION = -0.020, 0.010, 0.020
+DECISIONS = ("CAPABILITY WIN", "PERFORMANCE TIE", "REJECT WSD")
 
 
 def classify(control_general: Column, control_edu: Column, other_general: Column, other_edu: Column) -> dict[str, Column]:
@@ -50,7 +51,8 @@ def classify(control_general: Column, control_edu: Column, other_general: Column
     combined_control, combined_other = (control_general + control_edu) / 2.0, (other_general + other_edu) / 2.0
     general, edu, delta = other_general - control_general, other_edu - control_edu, combined_other - combined_control
     regressed = (general > REGRESSION) | (edu > REGRESSION)
-    decision = F.when((delta <= WIN) & ~regressed, "CAPABILITY WIN").when(delta <= TIE, "PERFORMANCE TIE").otherwise("REJECT WSD")
+    win, tie, reject = DECISIONS
+    decision = F.when((delta <= WIN) & ~regressed, win).when(delta <= TIE, tie).otherwise(reject)
     return {"control_combined": combined_control, "other_combined": combined_other, "delta_general": general, "delta_edu": edu, "delta_combined": delta, "regressed": regressed, "classification": decision}
 
 

@@ -88,11 +88,15 @@ def source_text_digest(texts: DataFrame) -> DataFrame:
     return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, digest string")
 
 
-def size_metrics(text: Column) -> dict[str, Column]:
-    """UTF-8 bytes, characters, words (runs without white space), and bytes and characters a word."""
+def size_metrics(text: Column, n_tokens: Column | None = None) -> dict[str, Column]:
+    """UTF-8 bytes, characters, words (runs without white space), and bytes and characters a word; with the tokens there are, also a token, and tokens a word."""
     words = F.size(F.regexp_extract_all(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0)))
     one = F.greatest(words, F.lit(1))
-    return {"n_bytes": F.octet_length(text), "n_chars": F.length(text), "n_words": words, "bytes_per_word": F.octet_length(text) / one, "chars_per_word": F.length(text) / one}
+    own = {}
+    if n_tokens is not None:
+        token = F.greatest(n_tokens, F.lit(1))
+        own = {"bytes_per_token": F.octet_length(text) / token, "chars_per_token": F.length(text) / token, "tokens_per_word": n_tokens / one}
+    return own | {"n_bytes": F.octet_length(text), "n_chars": F.length(text), "n_words": words, "bytes_per_word": F.octet_length(text) / one, "chars_per_word": F.length(text) / one}
 
 
 def timestamp_filename(stamp: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.prefix import running_total
+from quern.operators.prefix import place_in_group, running_total
 from quern.plans.runtime import spread
 
 
@@ -76,3 +76,22 @@ def capped_tokens(rows: DataFrame, required: int, context: int = 512) -> DataFra
     """Stored ids of each row of the budget that remain after trimming to whole windows and one id; no error if short."""
     most = required // context * context + 1
     return token_budget(rows, required, strict=False).withColumn("kept", F.least(F.col("stored"), F.lit(most) - F.col("stored_before"))).where("kept > 0")
+
+
+def validation_budget(rows: DataFrame, required: int) -> DataFrame:
+    """The validation rows that reach ``required`` + 1 stored ids, and the train rows seen until then.
+
+    ``rows`` has split, ordinal, doc_id and n_tokens. If validation ends before, that is an error.
+    """
+    own = token_budget(rows.where("split = 'validation'"), required)
+    last = own.agg(F.max(F.struct("ordinal", "doc_id")).alias("last")).first().last
+    if last is None:
+        return rows.limit(0).select("split", "ordinal", "doc_id")
+    seen = F.struct(F.col("ordinal").cast("bigint").alias("o"), F.col("doc_id").cast("bigint").alias("d")) <= F.struct(F.lit(last.ordinal).cast("bigint").alias("o"), F.lit(last.doc_id).cast("bigint").alias("d"))
+    return rows.where(F.col("split").isin("train", "validation") & seen).select("split", "ordinal", "doc_id")
+
+
+def unique_names(rows: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
+    """``rows`` with a name of their own: the second of a name, in order, has ``.1`` behind it, the next ``.2``."""
+    placed = place_in_group(rows, [name], order, "_nth", label="names")
+    return placed.withColumn(out, F.when(F.col("_nth") > 0, F.concat_ws(".", name, F.col("_nth").cast("string"))).otherwise(F.col(name))).drop("_nth")

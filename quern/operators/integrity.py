@@ -5,8 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+from collections.abc import Iterable, Iterator
 from pathlib import Path
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,17 @@ def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame
     return rows.select(F.col(key).cast("string").alias("key"), F.explode(broken).alias("rule"))
 
 
+def all_violations(tables: dict[str, tuple[DataFrame, str, dict[str, Column]]]) -> DataFrame:
+    """(table, key, rule) of every rule of every table that a row doesn't hold: all errors together, none stops the others."""
+    out = None
+    for name, (rows, key, rules) in tables.items():
+        part = violations(rows, key, rules).select(F.lit(name).alias("table"), "key", "rule")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no table to check")
+    return out
+
+
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
 
@@ -28,7 +43,7 @@ def share(c: Column) -> Column:
 def manifest(spark: SparkSession, folder: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(path, bytes, sha256) of each file below a folder, hashed where it is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = os.path.abspath(folder).rstrip("/") + "/" if "://" not in folder else folder.rstrip("/") + "/"
+    root = folder.rstrip("/") + "/" if re.match(r"[a-z0-9]+:/", folder) and not folder.startswith("file:") else os.path.abspath(re.sub(r"^file:/*", "/", folder)) + "/"
     path = F.substring_index(F.col("path"), root, -1)
     return files.select(path.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(~F.col("path").isin(*exclude) if exclude else F.lit(True))
 
@@ -60,6 +75,14 @@ def write_json(path: str | Path, value: object) -> None:
     os.replace(part, path)
 
 
+def append_durable(path: str | Path, record: dict) -> None:
+    """One line of JSON with sorted keys, on disk when this returns."""
+    with open(path, "a", encoding="utf-8") as f:
+        f.write(json.dumps(record, sort_keys=True, allow_nan=False) + "\n")
+        f.flush()
+        os.fsync(f.fileno())
+
+
 def sha256_prefix(path: str | Path, n: int) -> str:
     """Of the first ``n`` bytes; a shorter file is an error."""
     if n <= 0:
@@ -74,6 +97,29 @@ def sha256_prefix(path: str | Path, n: int) -> str:
     return digest.hexdigest()
 
 
+def prefix_matches(path: str | Path, n: int, expected: str) -> bool:
+    """Whether the first ``n`` bytes have the digest; a shorter file has not."""
+    try:
+        return sha256_prefix(path, n) == expected
+    except ValueError:
+        return False
+
+
+def prefix_chain(path: str | Path, links: list[tuple[str, int, str]]) -> list[str]:
+    """Names of the (name, bytes, sha256) that aren't prefixes of the file, read once; lengths must grow."""
+    if any(b[1] <= a[1] for a, b in zip(links, links[1:])) or any(n <= 0 for _, n, _ in links):
+        raise ValueError("each prefix must be longer than the one before")
+    digest, at, broken = hashlib.sha256(), 0, []
+    with open(path, "rb") as f:
+        for name, n, expected in links:
+            while at < n and (block := f.read(min(n - at, 1 << 20))):
+                digest.update(block)
+                at += len(block)
+            if at < n or digest.hexdigest() != expected:
+                broken.append(name)
+    return broken
+
+
 def verify_prefix(path: str | Path, n: int, expected: str) -> None:
     if (found := sha256_prefix(path, n)) != expected:
         raise RuntimeError(f"the first {n} bytes of {path} have digest {found}, not {expected}")
@@ -107,12 +153,69 @@ def config_difference(spark: SparkSession, one: dict, other: dict, allowed: tupl
     return both.where(~F.col("one").eqNullSafe(F.col("other"))).where(~F.col("path").isin(*allowed) if allowed else F.lit(True))
 
 
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
+_DEFINITION = re.compile(r" {0,3}\[(?:[^\]\\]|\\.)+\]:\s*(<[^<>]*>|\S+)")
+
+
+def _unfenced(text: str) -> list[str]:
+    """Lines outside fenced code; a fence is closed by one of the same sign that is as long."""
+    out, fence = [], ""
+    for line in text.splitlines():
+        mark = _FENCE.match(line)
+        if fence:
+            if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not line[mark.end() :].strip():
+                fence = ""
+        elif mark:
+            fence = mark[1]
+        else:
+            out.append(line)
+    return out
+
+
+def _closing(text: str, at: int, pair: str) -> int:
+    """Place of the bracket that closes the one at ``at``, or -1; escaped ones don't count."""
+    depth, k = 0, at
+    while k < len(text):
+        c = text[k]
+        if c == "\\":
+            k += 1
+        elif c == pair[0]:
+            depth += 1
+        elif c == pair[1]:
+            depth -= 1
+            if not depth:
+                return k
+        k += 1
+    return -1
+
+
+def link_targets(text: str) -> list[str]:
+    """Destinations of inline links, images, and reference definitions, outside code; titles are left out."""
+    lines = _unfenced(text)
+    out = [m[1].strip("<>") for line in lines if (m := _DEFINITION.match(line))]
+    body = re.sub(r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)", "", "\n".join(line for line in lines if not _DEFINITION.match(line)), flags=re.S)
+    for m in re.finditer(r"\]\(", body):
+        end = _closing(body, m.end() - 1, "()")
+        if end < 0:
+            continue
+        inside = body[m.end() : end].strip()
+        if inside[:1] == "<" and (close := inside.find(">")) > 0:
+            out.append(inside[1:close])
+        elif inside:
+            out.append(inside.split(None, 1)[0])
+    return out
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(id, text) -> (id, target) of Markdown links outside code fences; addresses and anchors are left out."""
-    bare = F.regexp_replace("text", r"(?s)```.*?```", "")
-    found = pages.select("id", F.explode(F.regexp_extract_all(bare, F.lit(r"!?\[[^\]]*\]\(([^)]+)\)"), F.lit(1))).alias("target"))
-    target = F.regexp_replace("target", r"^[<>]+|[<>]+$", "")
-    return found.select("id", target.alias("target")).where(~F.col("target").rlike(r"^[a-z]+://|^#")).select("id", F.url_decode(F.substring_index("target", "#", 1)).alias("target"))
+    """(id, text) -> (id, target): the files that a Markdown text links to, decoded and without anchor; addresses and anchors alone are left out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(k, unquote(t.partition("#")[0])) for k, text in enumerate(b.column(1).to_pylist()) if text for t in link_targets(text) if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", t) and not t.startswith("#")]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k for k, _ in found], pa.int64())), pa.array([t for _, t in found], pa.string())], names=["id", "target"])
+
+    own = pages.select("id", "text")
+    return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, target string")
 
 
 def broken_links(pages: DataFrame, files: DataFrame) -> DataFrame:

@@ -85,10 +85,21 @@ def _lost(sides: list[Iterator[tuple[list[int], list[int], list[int]]]], n: int,
                 yield s, np.arange(start, min(n, start + BLOCK))
 
 
-def merge(rows: DataFrame, targets: tuple[int, int]) -> DataFrame:
+def check_plan(sources: tuple[str, ...], order: tuple[str, ...], targets: tuple[int, ...], stored_total: int) -> None:
+    """The sources in their fixed order, a positive target of predictions for each, and stored ids of one more than all; else an error."""
+    if tuple(sources) != tuple(order):
+        raise ValueError(f"sources {sources} are not {order}, in this order")
+    if len(targets) != len(order) or min(targets, default=0) <= 0:
+        raise ValueError("each source has a positive target")
+    if stored_total != sum(targets) + 1:
+        raise ValueError(f"{stored_total} stored ids are not the targets' {sum(targets)} and one")
+
+
+def merge(rows: DataFrame, targets: tuple[int, int], start: tuple[int, int] = (0, 0)) -> DataFrame:
     """(src 0 or 1, ordinal, doc_id, document_id, n_tokens) -> the first row of each document in each source, with stored, kept, key, owner, and the key its source goes on with (after).
 
     ``kept`` rows, in the order (key, src, ordinal, doc_id), are the mixture. (src, ordinal, doc_id) must be unique.
+    ``start`` are the ids each source has stored before, in a mixture that goes on.
     Later copies take no part, however many a document has. All rows are ordered twice, once before and once
     after ownership is settled; in between, only documents that both sources have are merged, each once.
     """
@@ -99,7 +110,8 @@ def merge(rows: DataFrame, targets: tuple[int, int]) -> DataFrame:
     firsts = rows.groupBy("document_id", "src").agg(F.min(place).alias("place"), F.min_by((F.col("n_tokens") + 1).cast("bigint"), place).alias("stored"))
     sides = firsts.groupBy("document_id").agg((F.count(F.lit(1)) == 2).alias("shared"))
     marked = firsts.join(sides, "document_id").select("src", "place.ordinal", "place.doc_id", "document_id", "stored", "shared")
-    everything = running_total(marked, "stored", ORDER, "all_before", by=["src"], label="mixture")
+    stored_before = F.when(F.col("src") == 0, F.lit(start[0])).otherwise(F.lit(start[1])).cast("bigint")
+    everything = running_total(marked, "stored", ORDER, "all_before", by=["src"], label="mixture").withColumn("all_before", F.col("all_before") + stored_before)
     # all rows count at first; what a source loses is then taken off
     numbered = running_total(everything.where("shared").withColumn("one", F.lit(1).cast("bigint")), "one", ORDER, "pos", by=["src"], label="mixture-places")
     twins = numbered.where("src = 0").select("document_id", F.col("pos").alias("twin"))
@@ -114,38 +126,78 @@ def merge(rows: DataFrame, targets: tuple[int, int]) -> DataFrame:
     lost = spark.read.schema("src int, pos bigint").parquet(path).join(shared, ["src", "pos"]).select("src", "document_id", F.lit(True).alias("lost"))
     own = everything.join(lost, ["src", "document_id"], "left").withColumn("kept", F.col("lost").isNull()).withColumn("owner", F.when(F.col("kept"), F.col("src")).otherwise(1 - F.col("src")))
     own = own.select("src", *ORDER, "document_id", "stored", "kept", "owner", F.when(F.col("kept"), F.col("stored")).otherwise(F.lit(0)).cast("bigint").alias("add"))
-    return running_total(own, "add", ORDER, "before", by=["src"], label="mixture-keys").withColumn("key", _key(F.col("before"), scale)).withColumn("after", _key(F.col("before") + F.col("add"), scale)).drop("add", "before")
+    return running_total(own, "add", ORDER, "before", by=["src"], label="mixture-keys").withColumn("before", F.col("before") + stored_before).withColumn("key", _key(F.col("before"), scale)).withColumn("after", _key(F.col("before") + F.col("add"), scale)).drop("add", "before")
+
+
+def _cut(merged: DataFrame, stored_total: int, start: tuple[int, int]) -> DataFrame:
+    kept = running_total(merged.where("kept"), "stored", ["key", "src", "ordinal", "doc_id"], "off", label="emission").withColumn("off", F.col("off") + sum(start))
+    return materialize(kept.where(F.col("off") < stored_total), "emission-cut")
 
 
-def emission(merged: DataFrame, stored_total: int) -> DataFrame:
+def emission(merged: DataFrame, stored_total: int, start: tuple[int, int] = (0, 0), targets: tuple[int, int] | None = None) -> DataFrame:
     """The mixture's documents in order: off is the place of the first stored id, n the ids stored, the last one cut exactly.
 
     A source that ends before the total is reached is an error; it is never replaced by the other.
     """
-    kept = running_total(merged.where("kept"), "stored", ["key", "src", "ordinal", "doc_id"], "off", label="emission")
-    cut = materialize(kept.where(F.col("off") < stored_total), "emission-cut")
-    if (cut.agg(F.max(F.col("off") + F.col("stored"))).first()[0] or 0) < stored_total:
-        raise RuntimeError("both sources ended before the mixture was complete")
-    ended = [r.src for r in exhausted(merged, cut).collect()]  # two sources
+    cut = _cut(merged, stored_total, start)
+    ended = [r.src for r in exhausted(merged, cut, targets, start).collect()]  # two sources
     if ended:
         raise RuntimeError(f"source {ended[0]} ended before the mixture was complete")
+    if (cut.agg(F.max(F.col("off") + F.col("stored"))).first()[0] or sum(start)) < stored_total:
+        raise RuntimeError("both sources ended before the mixture was complete")
     return cut.withColumn("n", F.least(F.col("stored"), F.lit(stored_total) - F.col("off")))
 
 
-def exhausted(merged: DataFrame, emitted: DataFrame, targets: tuple[int, int] | None = None) -> DataFrame:
+def first_to_end(merged: DataFrame, stored_total: int) -> DataFrame:
+    """(src) of the source whose turn came when it had no document left, before ``stored_total``; no row if the mixture is complete."""
+    cut = _cut(merged, stored_total, (0, 0))
+    r = merged.where("kept").agg(*[F.max(F.when(F.col("src") == s, F.col("after"))).alias(f"k{s}") for s in (0, 1)]).first()
+    turns = sorted(((r[f"k{s}"] or 0), s) for s in (0, 1))  # the keys at which each would draw what it hasn't
+    complete = (cut.agg(F.max(F.col("off") + F.col("stored"))).first()[0] or 0) >= stored_total and exhausted(merged, cut).isEmpty()
+    return merged.sparkSession.createDataFrame([] if complete else [(turns[0][1],)], "src int")
+
+
+def exhausted(merged: DataFrame, emitted: DataFrame, targets: tuple[int, int] | None = None, start: tuple[int, int] = (0, 0)) -> DataFrame:
     """Sources whose turn came, before the last emitted document, when they had none left; also one that has no documents at all.
 
-    The keys of ``merged`` are by its own targets; ``targets`` are not needed.
+    The keys of ``merged`` are by its own targets; ``targets`` are only needed with a ``start``.
     """
     last = emitted.agg(F.max(F.struct("key", "src")).alias("last")).first().last
     both = merged.sparkSession.createDataFrame([(0,), (1,)], "src int")
     if last is None:
         return both.limit(0)
     total = merged.where("kept").groupBy("src").agg(F.max("after").alias("key"))
-    end = both.join(F.broadcast(total), "src", "left").withColumn("key", F.coalesce("key", F.lit(0)))
+    end = both.join(F.broadcast(total), "src", "left")
+    begin = F.lit(0)
+    if targets and sum(start):  # a source that has nothing more ended where the part before stopped
+        g = gcd(*targets)
+        begin = _key(F.when(F.col("src") == 0, F.lit(start[0])).otherwise(F.lit(start[1])), (targets[1] // g, targets[0] // g))
+    end = end.withColumn("key", F.coalesce("key", begin))
     return end.where((F.col("key") < last.key) | ((F.col("key") == last.key) & (F.col("src") < last.src))).select("src")
 
 
+def state(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a mixture needs to go on: (document_id, src) of the documents it has whole, and of each source the ids stored in them and the place of the last."""
+    whole = emitted.where(F.col("n") == F.col("stored"))
+    places = whole.groupBy("src").agg(F.sum("n").alias("stored_ids"), F.max(F.struct(*ORDER)).alias("last"))
+    return whole.select("document_id", "src"), places.select("src", "stored_ids", "last.ordinal", "last.doc_id")
+
+
+def extend(rows: DataFrame, owned: DataFrame, places: DataFrame, targets: tuple[int, int], stored_total: int) -> DataFrame:
+    """The rest of a mixture up to ``stored_total``, from a state: with what came before it is what all rows at once would give.
+
+    ``rows`` may have more documents behind those of before, and the targets the same ratio. A document that was cut is stored anew, whole.
+    """
+    at = {r.src: r for r in places.collect()}  # two sources
+    start = tuple(int(at[s].stored_ids) if s in at else 0 for s in (0, 1))
+    place = F.struct(*(F.col(c).cast("bigint").alias(c) for c in ORDER))
+    rest = rows
+    for s, r in at.items():
+        rest = rest.where((F.col("src") != s) | (place > F.struct(F.lit(r.ordinal).cast("bigint").alias("ordinal"), F.lit(r.doc_id).cast("bigint").alias("doc_id"))))
+    merged = materialize(merge(rest.join(owned.select("document_id"), "document_id", "left_anti"), targets, start), "mixture-rest")
+    return emission(merged, stored_total, start, targets)
+
+
 def accounting(rows: DataFrame, merged: DataFrame, emitted: DataFrame) -> DataFrame:
     """By source: stored and prediction ids, documents, and rows skipped as copies from the source itself or the other.
 

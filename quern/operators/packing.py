@@ -6,6 +6,7 @@ A document is never exploded into tokens: it is cut into the few pieces that win
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
@@ -107,6 +108,45 @@ def window_digests(windowed: DataFrame) -> DataFrame:
     return windowed.select("window_id", "ids").mapInArrow(run, "window_id bigint, digest string")
 
 
+def set_digest(digests: DataFrame, group: int = 4096) -> str:
+    """(window_id, digest) -> one digest of the set in the order of ids: SHA-256 over those of runs of ``group`` ids, which are over the digests' bytes.
+
+    Windows meet only within a run; the runs' digests, one for ``group`` windows, are put together by the driver.
+    """
+    runs = digests.groupBy(F.expr(f"window_id div {group}").alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window_id", "digest"))), lambda x: x.digest), "").alias("all"))
+    own = runs.select("run", F.sha2(F.unhex("all"), 256).alias("digest")).toArrow().sort_by("run")["digest"].to_pylist()
+    return sha256(b"".join(map(bytes.fromhex, own))).hexdigest()
+
+
+@dataclass(frozen=True)
+class Cursor:
+    """Where a run stands in a schedule: the next position, and the arm and digest of the schedule it was drawn from."""
+
+    position: int
+    arm: str
+    digest: str
+
+    @classmethod
+    def after(cls, step: int, batch: int, arm: str, digest: str) -> Cursor:
+        """Of a log that has only the step."""
+        return cls(step * batch, arm, digest)
+
+    def take(self, schedule: DataFrame, size: int, total: int, digest: str) -> tuple[DataFrame, Cursor]:
+        """(position, window_id) of the next batch, and the cursor behind it. Another schedule than the cursor's, or one that ends, is an error."""
+        if digest != self.digest:
+            raise RuntimeError("the cursor is of another schedule")
+        r = batch_range(self.position, size, total)
+        rows = schedule.where((F.col("schedule") == self.arm) & F.col("position").between(r.start, r.stop - 1)).select("position", "window_id")
+        return rows, Cursor(r.stop, self.arm, digest)
+
+
+def capacities(requests: DataFrame, permitted: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """(experiment, artifact, tokens) -> with ``windows``, null where ``permitted`` (the same columns, a parameter table) has no such row or the tokens fill no whole windows."""
+    allowed = permitted.select("experiment", "artifact", "tokens").distinct().withColumn("_ok", F.lit(True))
+    out = requests.join(F.broadcast(allowed), ["experiment", "artifact", "tokens"], "left")
+    return out.withColumn("windows", F.when(F.col("_ok") & (F.col("tokens") % context == 0), F.expr(f"tokens div {context}"))).drop("_ok")
+
+
 def rolling_windows(lengths: DataFrame, most: int = CONTEXT) -> DataFrame:
     """(id, n) -> (id, part, first, scored): disjoint windows in which every token is scored exactly once."""
     return lengths.where("n > 0").select("id", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / most).cast("int"))).alias("part")).select("id", "part", (F.col("part") * most).alias("first"), F.least(F.lit(most), F.col("n") - F.col("part") * most).alias("scored"))

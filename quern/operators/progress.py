@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.prefix import previous
+
 
 def telemetry(rows: DataFrame, target: int, by: list[str], order: list[str]) -> DataFrame:
     """(stored, documents, seconds) records in order -> with percent, rates and remaining time; an unchanged count is no record.
 
-    ``by`` are the builds: each is one log, read by one task.
+    ``by`` are the builds, a few; a log of any length is read by many tasks.
     """
-    was = F.lag("stored").over(Window.partitionBy(*by).orderBy(*order))
-    changed = rows.withColumn("was", was).where(F.col("was").isNull() | (F.col("was") != F.col("stored"))).drop("was")
+    changed = previous(rows, "stored", order, "was", by, label="telemetry").where(F.col("was").isNull() | (F.col("was") != F.col("stored"))).drop("was")
     rate = F.when(F.col("seconds") > 0, F.col("stored") / F.col("seconds")).otherwise(F.lit(0.0))
     return changed.select(
         "*",

@@ -101,6 +101,14 @@ REQUESTS = """
   sized AS (SELECT item_id AS request_id, CASE WHEN item_id % 2 = 0 THEN 'loglikelihood' ELSE 'multiple_choice' END AS request_type, task, CASE WHEN item_id % 7 <> 0 THEN item_id // 3 END AS doc_id,
     CASE WHEN length(coalesce(text, '')) > 0 THEN len(string_split(text, ' ')) ELSE 0 END AS n FROM benchmark),
   requests AS (SELECT *, n // 2 AS n_context, n - n // 2 AS n_continuation FROM sized)"""
+# The stream of valid ids, as files of 50,000 hold it.
+_BYTES = "array_to_string(list(printf('%02x%02x', id & 255, id >> 8) ORDER BY place), '')"
+VALID = f"""
+  docs AS (SELECT seq, list_append([((x % 8192) + 8192) % 8192 FOR x IN any_value(ids)], 0) AS ids FROM token_docs WHERE ids IS NOT NULL GROUP BY seq),
+  stream AS (SELECT *, CAST(sum(len(ids)) OVER (ORDER BY seq) - len(ids) AS BIGINT) AS off FROM docs),
+  flat AS (SELECT off + i - 1 AS place, ids[i] AS id FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS i FROM stream)),
+  total AS (SELECT count(*) AS n FROM flat)"""
+
 _EVENTS = "events_of AS (SELECT request_id, greatest(1, n_context) + unnest(range(n_continuation)) AS context FROM requests WHERE n_continuation > 0)"
 
 _COS = "6e-5 + 0.5 * (6e-4 - 6e-5) * (1 + cos(pi() * {}))"
@@ -221,4 +229,46 @@ def oracle_sql() -> dict[str, str]:
         "progress_first_last": "SELECT event_type, min(event_id) AS first_at, arg_min(value, event_id) AS first, max(event_id) AS last_at, arg_max(value, event_id) AS last, count(*) AS records FROM events GROUP BY 1",
         "stream_dedup": f"WITH {CORPUS} SELECT DISTINCT document_id FROM corpus",
         "stream_progress": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS records, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+        "stream_late": """WITH wm AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 5 DAY AS passed FROM events WHERE event_id % 3 = 0), kept AS (SELECT * FROM events, wm WHERE event_id % 3 < 2 OR date_trunc('day', ts) + INTERVAL 1 DAY > passed)
+          SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS records, round(sum(value), 4) AS total FROM kept GROUP BY 1, 2""",
+        "stream_files": f"WITH {VALID} SELECT CAST(p AS BIGINT) AS part, CAST(least(50000, n - p * 50000) AS BIGINT) AS ids, CAST(least(n, (p + 1) * 50000) AS BIGINT) AS stored_so_far FROM (SELECT n, unnest(range((n + 49999) // 50000)) AS p FROM total)",
+        "stream_file_manifest": f"WITH {VALID} SELECT printf('part-%08d.u16', place // 50000) AS path, 2 * count(*) AS bytes, sha256(unhex({_BYTES})) AS sha256 FROM flat GROUP BY place // 50000",
+        "stream_read_back": f"WITH {VALID} SELECT n AS ids, CAST(sum(id) AS BIGINT) AS total, n // 2 AS visible_ids, CAST(sum(id) FILTER (place < n // 2) AS BIGINT) AS visible_total FROM flat, total GROUP BY n",
+        "stream_digest": f"WITH {VALID} SELECT sha256(unhex({_BYTES})) AS digest FROM flat",
+        "prefix_gates": f"WITH {VALID} SELECT name, CAST(least(n, 50000) // d AS BIGINT) AS ids, ok FROM total, (VALUES ('quarter', 4, true), ('half', 2, false), ('whole', 1, true)) t(name, d, ok)",
+        "index_copy": "SELECT count(*) AS digests, count(DISTINCT value) AS distinct_digests FROM ngram_index",
+        "jsonl_events": "SELECT event_id, value FROM events WHERE event_type = 'click'",
+        "window_set_digest": f"""WITH {FLAT}, each AS (SELECT window_id, sha256(unhex(printf('%02x%02x%02x%02x', window_id & 255, (window_id >> 8) & 255, (window_id >> 16) & 255, (window_id >> 24) & 255)
+          || array_to_string([printf('%02x%02x', x & 255, (x >> 8) & 255) FOR x IN ids], ''))) AS digest FROM win),
+          runs AS (SELECT window_id // 64 AS run, sha256(unhex(string_agg(digest, '' ORDER BY window_id))) AS digest FROM each GROUP BY 1) SELECT sha256(unhex(string_agg(digest, '' ORDER BY run))) AS digest FROM runs""",
+        "first_example": f"WITH {FLAT} SELECT window_id, inputs, targets FROM ex WHERE window_id = 0",
+        "scheduled_batch": f"WITH {PHASES}, size AS (SELECT greatest(1, w // 8) AS b FROM total) SELECT position, window_id FROM sched, size WHERE schedule = 'cooldown_edu' AND position >= 3 * b AND position < 5 * b",
+        "schedule_membership": f"WITH {PHASES}, sets AS (SELECT schedule, list(window_id ORDER BY window_id) AS l FROM sched GROUP BY schedule) SELECT schedule, l = (SELECT l FROM sets WHERE schedule = 'static') AS same FROM sets",
+        "capacity_lookup": f"""WITH {STREAM}, own AS (SELECT source AS artifact, CAST(sum(n - 1) AS BIGINT) // 512 * 512 AS tokens FROM stream GROUP BY source)
+          SELECT limit_name AS experiment, artifact, tokens, CASE WHEN length(artifact) % 2 = 0 THEN tokens // 512 END AS windows FROM own, size_limits""",
+        "mixture_extension": f"WITH RECURSIVE {MIXTURE} SELECT src, doc AS doc_id, off, n FROM fold WHERE kind = 'kept'",
+        "mixture_invariant": f"""WITH RECURSIVE {MIXTURE}, per AS (SELECT src, CAST(sum(n) - count(*) FILTER (kind = 'kept' AND off = 0) AS BIGINT) AS prediction_ids FROM fold WHERE it > 0 GROUP BY src)
+          SELECT src, prediction_ids, 3 * k AS target, (SELECT sum(prediction_ids) FROM per) = 3 * k AS complete FROM per, target""",
+        "mixture_exhaustion": f"""WITH RECURSIVE {MIXTURE.replace('* 9 // 10', '* 13 // 10')} SELECT CASE WHEN again THEN src WHEN off + n = 0 THEN 0 WHEN cb * 2 < ca THEN 1 ELSE 0 END AS src
+          FROM (SELECT * FROM fold ORDER BY it DESC LIMIT 1), target WHERE off + n < 3 * k + 1""",
+        "validation_train_seen": f"""WITH {CORPUS}, sized AS (SELECT split, ordinal, doc_id, len(string_split(text, ' ')) + 1 AS stored FROM identified), v AS (SELECT *, sum(stored) OVER (ORDER BY ordinal, doc_id) - stored AS before, sum(stored) OVER () AS total FROM sized WHERE split = 'validation'),
+          last AS (SELECT max((ordinal, doc_id)) AS m FROM v WHERE before < total // 2 + 1) SELECT split, doc_id FROM sized, last WHERE (ordinal, doc_id) <= m""",
+        "text_token_metrics": f"""WITH {CORPUS} SELECT doc_id, round(strlen(text) / n, 6) AS bytes_per_token, round(length(text) / n, 6) AS chars_per_token, round(n / greatest(w, 1), 6) AS tokens_per_word
+          FROM (SELECT *, len(string_split(text, ' ')) AS n, len(regexp_extract_all(text, '[^{_SPACE}]+')) AS w FROM corpus)""",
+        "encoded_digests": f"WITH {CORPUS} SELECT doc_id, sha256(array_to_string([length(x) FOR x IN string_split(text, ' ')], ',')) AS ids FROM corpus",
+        "benchmark_row_texts": """SELECT item_id, sha256(concat_ws(' ', coalesce(task, 'None'), coalesce(text, 'None'), coalesce(split, 'None'))) AS choice,
+          coalesce(task, 'None') || '   [' || concat_ws(', ', chr(39) || task || chr(39), CASE WHEN split IS NULL THEN '"it' || chr(39) || 's"' ELSE chr(39) || split || chr(39) END) || ']' AS endings FROM benchmark""",
+        "crawl_filenames": """WITH named AS (SELECT doc_id, strftime(crawled_at, '%Y-%m-%dT%H') || '-00_00-00' AS name FROM documents WHERE crawled_at IS NOT NULL), placed AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id) - 1 AS nth FROM named)
+          SELECT doc_id, CASE WHEN nth > 0 THEN name || '.' || nth ELSE name END AS unique_name FROM placed""",
+        "commit_check": "SELECT doc_id, regexp_full_match(substr(document_id, 1, 40), '[0-9a-f]{40}') AS ok FROM documents WHERE document_id IS NOT NULL",
+        "artifact_match": "WITH t AS (SELECT task, row_number() OVER (ORDER BY task) AS k FROM (SELECT DISTINCT task FROM benchmark WHERE text IS NOT NULL)) SELECT task, CASE k WHEN 1 THEN 'missing' ELSE 'digest' END AS problem FROM t WHERE k <= 2 UNION ALL SELECT 'other', 'unexpected'",
+        "evidence_errors": """WITH bad AS (
+            SELECT 'decisions' AS "table", 'digest' AS rule FROM contamination_decisions WHERE NOT coalesce(regexp_full_match(document_sha256, '[0-9a-f]{64}'), false) UNION ALL SELECT 'decisions', 'count' FROM contamination_decisions WHERE NOT coalesce(overlap_count >= 0, false)
+            UNION ALL SELECT 'events', 'value' FROM events WHERE NOT coalesce(isfinite(value) AND value < 200, false)
+            UNION ALL SELECT 'targets', 'share' FROM mix_targets WHERE NOT coalesce(isfinite(weight) AND weight BETWEEN 0 AND 1, false) UNION ALL SELECT 'targets', 'repeats' FROM mix_targets WHERE NOT coalesce(max_repeats > 1, false))
+          SELECT "table", rule, count(*) AS errors FROM bad GROUP BY ALL""",
+        "parameter_breakdown": """WITH once AS (SELECT p_partkey // 2 AS storage, arg_min(p_brand, p_partkey) AS part, arg_min(p_size, p_partkey) AS size FROM part GROUP BY 1)
+          SELECT part, CAST(sum(size) AS BIGINT) AS parameters, count(*) AS tensors FROM once GROUP BY part""",
+        "milestone_steps": "WITH c AS (SELECT count(*) AS n, greatest(1, count(*) // 9) AS i FROM events) SELECT DISTINCT step FROM (SELECT unnest(range(0, n, i)) AS step FROM c UNION ALL SELECT n FROM c UNION ALL SELECT n // 3 FROM c UNION ALL SELECT n // 2 FROM c)",
+        "broken_page_links": "SELECT doc_id, 'docs/' || (doc_id + 1) || '.md' AS target FROM documents WHERE doc_id + 1 NOT IN (SELECT doc_id FROM documents)",
     }

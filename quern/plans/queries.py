@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +21,7 @@ from quern.operators import schedule as S
 from quern.operators import screen as X
 from quern.operators import tokenize as K
 from quern.plans.runtime import materialize, read, shared_dir, ship_package
+from quern.sources import artifacts as A
 from quern.streaming import corpus as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,6 +236,7 @@ def _targets(rows) -> tuple[int, int]:
 def _mixed(spark, d):
     rows = _mixture_rows(spark, d)
     targets = _targets(rows)
+    M.check_plan(SOURCES, ("fineweb", "fineweb_edu"), targets, sum(targets) + 1)
     merged = materialize(M.merge(rows, targets), "mixture-merged")
     return rows, merged, M.emission(merged, sum(targets) + 1)
 
@@ -549,7 +552,7 @@ def progress_first_last(spark, d):
 
 
 def _drain(rows: DataFrame, spark: SparkSession, label: str) -> str:
-    out = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
+    out = _place(spark, label)
     q = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return f"{out}/rows"
@@ -563,12 +566,259 @@ def stream_dedup(spark, d):
     return spark.read.schema("document_id string").parquet(_drain(rows, spark, "stream-dedup"))
 
 
+def _by_day(spark, rows, label: str):
+    out = _place(spark, label)
+    x = stream.last_states(rows, ["start", "event_type"], f"{out}/rows", f"{out}/state")
+    return x.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "records", F.round("total", 4).alias("total"))
+
+
 @query
 def stream_progress(spark, d):
-    """Daily records by type from a stream of files; the watermark lets every row of the replayed log in and closes the last day by none."""
+    """Daily records by type from a stream of files; the watermark lets every row of the replayed log in."""
     schema = read(spark, d, "events").schema
-    rows = stream.progress_by_window(stream.read_stream(spark, f"{d}/events.parquet*", schema), late="3650 days")
-    name = f"progress_{uuid.uuid4().hex}"
-    q = rows.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "records", F.round("total", 4).alias("total"))
+    return _by_day(spark, stream.progress_by_window(stream.read_stream(spark, f"{d}/events.parquet*", schema), late="3650 days"), "stream-progress")
+
+
+@query
+def stream_late(spark, d):
+    """The same log in three files, with a watermark of five days: rows of the third that it has passed are left out."""
+    events, folder = read(spark, d, "events"), _place(spark, "stream-late-in")
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).coalesce(1).write.parquet(f"{folder}/{k}")
+    return _by_day(spark, stream.progress_by_window(stream.read_stream(spark, f"{folder}/*", events.schema), late="5 days"), "stream-late")
+
+
+# --- files, gates and resumed work
+
+
+def _place(spark: SparkSession, label: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
+
+
+FILE_IDS = 50_000
+
+
+def _stream_file(spark, d):
+    """The stored stream of valid ids as files: (rows, folder, listing)."""
+    docs = read(spark, d, "token_docs").select("seq", C.source_name(F.col("source")).alias("source"), F.transform("ids", lambda x: F.pmod(x, F.lit(A.VOCABULARY))).alias("ids"))
+    rows = materialize(P.offsets(docs, EOD).select("off", "n", "ids"), "stream")
+    folder = _place(spark, "stream-files")
+    return rows, folder, A.write_stream(rows, folder, _stored(rows), chunk=FILE_IDS)
+
+
+@query
+def stream_files(spark, d):
+    """The files of a written stream: ids, and how many are stored up to each."""
+    return _stream_file(spark, d)[2].select("part", "ids", "stored_so_far")
+
+
+@query
+def stream_file_manifest(spark, d):
+    return I.manifest(spark, _stream_file(spark, d)[1])
+
+
+@query
+def stream_read_back(spark, d):
+    """Ids, and the part of them that a bundle shows, read from the files again."""
+    rows, folder, _ = _stream_file(spark, d)
+    half = _stored(rows) // 2
+    whole = A.read_stream(spark, folder, FILE_IDS).agg(F.sum("n").alias("ids"), F.sum(F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("total"))
+    part = A.read_stream(spark, folder, FILE_IDS, visible=half).agg(F.sum("n").alias("visible_ids"), F.sum(F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("visible_total"))
+    a, b = whole.first(), part.first()
+    return spark.createDataFrame([(*a, *b)], "ids bigint, total bigint, visible_ids bigint, visible_total bigint")
+
+
+@query
+def stream_digest(spark, d):
+    """SHA-256 of the whole stored stream."""
+    return spark.createDataFrame([(A.stream_sha256(_stream_file(spark, d)[1]),)], "digest string")
+
+
+@query
+def prefix_gates(spark, d):
+    """Prefixes of the written stream whose digests a chain of gates doesn't find; the second of three is told wrong."""
+    rows, folder, _ = _stream_file(spark, d)
+    store, base = A.FileSystem.from_uri(A.files_of(spark, folder)[0])
+    with store.open_input_stream(f"{base}/part-{0:08d}.u16") as f:
+        first = f.read()
+    n = len(first) // 2
+    links = [(name, x, hashlib.sha256(first[: 2 * x]).hexdigest() if name != "half" else "0" * 64) for name, x in (("quarter", n // 4), ("half", n // 2), ("whole", n))]
+    broken = A.broken_prefixes(store, base, links)
+    return spark.createDataFrame([(name, x, name not in broken) for name, x, _ in links], "name string, ids bigint, ok boolean")
+
+
+@query
+def index_copy(spark, d):
+    copy = A.copy_index(spark, f"{d}/ngram_index.parquet", _place(spark, "index-copy"))
+    return copy.agg(F.count(F.lit(1)).alias("digests"), F.count_distinct("value").alias("distinct_digests"))
+
+
+@query
+def jsonl_events(spark, d):
+    """Records of one event from a log of JSON lines."""
+    events, folder = read(spark, d, "events"), _place(spark, "log")
+    events.select(F.col("event_type").alias("event"), "event_id", "value").write.json(folder)
+    return A.read_jsonl(spark, folder, "event string, event_id bigint, value double", "click").select("event_id", "value")
+
+
+@query
+def window_set_digest(spark, d):
+    """One digest of all windows in the order of their ids."""
+    own = P.window_digests(P.windows(_stream(spark, d).select("off", "n", "ids")))
+    return spark.createDataFrame([(P.set_digest(own, 64),)], "digest string")
+
+
+@query
+def first_example(spark, d):
+    x = P.next_token_example(_stream(spark, d).select("off", "n", "ids"))
+    return x.select("window_id", F.sha2(F.array_join("inputs", ","), 256).alias("inputs"), F.sha2(F.array_join("targets", ","), 256).alias("targets"))
+
+
+@query
+def scheduled_batch(spark, d):
+    """Two batches of a schedule, the second from the cursor behind the first."""
+    phases, total, block = _phases(spark, d)
+    own = materialize(S.schedules(phases, total - 2 * block, block), "schedules")
+    digest, size = "of the schedule", max(1, total // 8)
+    one, cursor = P.Cursor.after(3, size, "cooldown_edu", digest).take(own, size, total, digest)
+    two, _ = cursor.take(own, size, total, digest)
+    return one.unionByName(two)
+
+
+@query
+def schedule_membership(spark, d):
+    """Whether each schedule has just the windows of the static one."""
+    phases, total, block = _phases(spark, d)
+    own = materialize(S.schedules(phases, total - 2 * block, block), "schedules")
+    names = [r.schedule for r in own.select("schedule").distinct().collect()]  # three
+    ids = {n: own.where(F.col("schedule") == n).select("window_id") for n in names}
+    return spark.createDataFrame([(n, I.same_rows(ids[n], ids["static"])) for n in names], "schedule string, same boolean")
+
+
+@query
+def capacity_lookup(spark, d):
+    """Windows of each limit over each source, where its tokens are permitted."""
+    own = read(spark, d, "token_docs").where("ids is not null").dropDuplicates(["seq"]).groupBy(C.source_name(F.col("source")).alias("artifact")).agg(F.sum(F.size("ids")).alias("n"))
+    limits = read(spark, d, "size_limits").select(F.col("limit_name").alias("experiment"), "max_tokens")
+    requests = own.select("artifact", F.expr("n div 512 * 512").alias("tokens")).withColumn("experiment", F.explode(F.array(*[F.lit(r.experiment) for r in limits.collect()])))  # a parameter table
+    permitted = requests.where(F.length("artifact") % 2 == 0)
+    return P.capacities(requests, permitted)
+
+
+@query
+def mixture_extension(spark, d):
+    """The mixture stored by half, kept as ids and places, and then extended to the whole."""
+    rows = _mixture_rows(spark, d)
+    targets = _targets(rows)
+    first = M.emission(materialize(M.merge(rows, targets), "mixture-merged"), sum(targets) // 2)
+    owned, places = (materialize(x, "mixture-state") for x in M.state(first))
+    rest = M.extend(rows, owned, places, targets, sum(targets) + 1)
+    return first.where("n = stored").select("src", "doc_id", "off", "n").unionByName(rest.select("src", "doc_id", "off", "n"))
+
+
+@query
+def mixture_invariant(spark, d):
+    """Stored predictions of each source, and whether they are the targets' together."""
+    rows, merged, emitted = _mixed(spark, d)
+    targets = _targets(rows)
+    x = materialize(M.accounting(rows, merged, emitted).select("src", "prediction_ids"), "mixture-accounts")
+    whole = x.agg(F.sum("prediction_ids")).first()[0] or 0
+    return x.select("src", "prediction_ids", F.lit(sum(targets)).cast("bigint").alias("target"), F.lit(whole == sum(targets)).alias("complete"))
+
+
+@query
+def mixture_exhaustion(spark, d):
+    """The source that ends first where the targets are more than there is."""
+    rows = _mixture_rows(spark, d)
+    by = {r.src: r.n for r in rows.dropDuplicates(["src", "document_id"]).groupBy("src").agg(F.sum(F.col("n_tokens") + 1).alias("n")).collect()}
+    k = min(by.get(0, 0) // 2, by.get(1, 0)) * 13 // 10
+    return M.first_to_end(materialize(M.merge(rows, (2 * k, k)), "mixture-merged"), 3 * k + 1)
+
+
+@query
+def validation_train_seen(spark, d):
+    """Validation rows of half their tokens, and the train rows that stood before them."""
+    rows = materialize(_identified(spark, d).select("split", "ordinal", "doc_id", _n_words(F.col("text")).alias("n_tokens")), "sizes")
+    total = rows.where("split = 'validation'").agg(F.sum(F.col("n_tokens") + 1)).first()[0] or 0
+    return (C.validation_budget(rows, total // 2) if total else rows.limit(0)).select("split", "doc_id")
+
+
+@query
+def text_token_metrics(spark, d):
+    m = T.size_metrics(F.col("text"), _n_words(F.col("text")))
+    return _corpus(spark, d).select("doc_id", *[F.round(m[n], 6).alias(n) for n in ("bytes_per_token", "chars_per_token", "tokens_per_word")])
+
+
+@query
+def encoded_digests(spark, d):
+    """Ids by an encoder that is passed in: the length of each piece between single spaces."""
+    rows = _corpus(spark, d).select("doc_id", "text")
+    return K.encode(rows, lambda texts: [[len(x) for x in t.split(" ")] for t in texts]).select("doc_id", F.sha2(F.array_join("ids", ","), 256).alias("ids"))
+
+
+@query
+def benchmark_row_texts(spark, d):
+    """Texts of benchmark rows of two tasks' columns, one of them absent."""
+    b = read(spark, d, "benchmark")
+    own = {"goal": F.col("task"), "sol1": F.col("text"), "sol2": F.col("split")}
+    listed = F.array(F.col("task"), F.coalesce("split", F.lit("it's")))
+    return b.select("item_id", F.sha2(C.benchmark_text("piqa", own), 256).alias("choice"), C.benchmark_text("hellaswag", {"ctx_a": F.col("task"), "endings": C.python_list_text(listed)}).alias("endings"))
+
+
+@query
+def crawl_filenames(spark, d):
+    """A file name for each crawl by its time; equal times have suffixes."""
+    own = read(spark, d, "documents").where("crawled_at is not null").select("doc_id", T.timestamp_filename(F.concat(F.date_format("crawled_at", "yyyy-MM-dd'T'HH"), F.lit(":00+00:00"))).alias("name"))
+    return C.unique_names(own, "name", ["doc_id"]).select("doc_id", "unique_name")
+
+
+@query
+def commit_check(spark, d):
+    """Which ids begin with what could be a full commit."""
+    own = read(spark, d, "documents").where("document_id is not null")
+    return own.select("doc_id", T.is_commit(F.substring("document_id", 1, 40)).alias("ok"))
+
+
+@query
+def artifact_match(spark, d):
+    """Tasks and the digests of their items against a listing in which one lacks, one is altered and one is of no task."""
+    b = read(spark, d, "benchmark").where("text is not null").groupBy("task").agg(F.sha2(F.min("text"), 256).alias("sha256"))
+    names = sorted(r.task for r in b.select("task").collect())  # five
+    found = b.where(F.col("task") != names[0]).withColumn("sha256", F.when(F.col("task") == names[1], F.lit("0")).otherwise(F.col("sha256")))
+    return I.match_artifacts(b, found.unionByName(spark.createDataFrame([("other", "1")], "task string, sha256 string")))
+
+
+@query
+def evidence_errors(spark, d):
+    """Every broken rule of three tables together."""
+    log = read(spark, d, "contamination_decisions")
+    events = read(spark, d, "events")
+    targets = read(spark, d, "mix_targets")
+    return I.all_violations({
+        "decisions": (log, "document_sha256", {"digest": F.col("document_sha256").rlike(r"\A[0-9a-f]{64}\z"), "count": F.col("overlap_count") >= 0}),
+        "events": (events, "event_id", {"value": I.finite(F.col("value")) & (F.col("value") < 200)}),
+        "targets": (targets, "source", {"share": I.share(F.col("weight")), "repeats": F.col("max_repeats") > 1}),
+    }).groupBy("table", "rule").agg(F.count(F.lit(1)).alias("errors"))
+
+
+@query
+def parameter_breakdown(spark, d):
+    """Sizes by part, what shares a storage counted once."""
+    x = read(spark, d, "part").select(F.format_string("%08d", F.col("p_partkey")).alias("name"), F.col("p_brand").alias("part"), F.expr("p_partkey div 2").alias("storage"), F.col("p_size").cast("bigint").alias("size"))
+    return E.parameter_breakdown(x)
+
+
+@query
+def milestone_steps(spark, d):
+    """Steps at which a run as long as the log has events is measured."""
+    n = read(spark, d, "events").count()
+    return spark.createDataFrame([(x,) for x in E.milestones(n, max(1, n // 9), (n // 3, n + 1, n // 2))], "step bigint")
+
+
+@query
+def broken_page_links(spark, d):
+    """Links of pages made from the documents that lead to none of them."""
+    docs = read(spark, d, "documents").select("doc_id")
+    pages = docs.select(F.col("doc_id").alias("id"), F.format_string("See [this [page]](docs/%d.md#top \"title\"), [that](<docs/%d.md>) and `[none](x.md)`.\n~~~\n[no](gone.md)\n~~~\n", F.col("doc_id"), F.col("doc_id") + 1).alias("text"))
+    return I.broken_links(pages, docs.select(F.format_string("docs/%d.md", "doc_id").alias("path"))).select(F.col("id").alias("doc_id"), "target")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.functions import text as T
+from quern.operators.integrity import append_durable
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType | str, files_per_trigger: int = 1, form: str = "parquet") -> DataFrame:
@@ -42,3 +43,36 @@ def progress_by_window(rows: DataFrame, width: str = "1 day", late: str = "1 day
 def append_jsonl(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Append-only JSON lines, each batch complete or absent."""
     return rows.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def last_states(rows: DataFrame, keys: list[str], folder: str, checkpoint: str) -> DataFrame:
+    """Drain a stream of aggregates in update mode; of each key the row of the last batch that changed it.
+
+    Each batch writes its changes, once however often it runs, to the folder; state is dropped as the watermark passes.
+    """
+    spark = rows.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    write(spark.createDataFrame([], rows.schema), -1)  # a stream without a row has none
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(StructType([*rows.schema, StructField("batch", LongType())])).parquet(folder)
+    rest = [c for c in rows.columns if c not in keys]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_x")).select(*keys, "_x.*")
+
+
+def log_progress(rows: DataFrame, path: str, checkpoint: str, every: int = 100) -> StreamingQuery:
+    """Drain a stream of (step, ...) records; every ``every`` steps' last record is on disk, as a line of JSON, before the next batch runs.
+
+    A batch that comes again after a failure may repeat its lines; readers take the last of a step.
+    """
+    if not 0 < every <= 100:
+        raise ValueError("progress is kept every 1 to 100 steps")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.where(F.col("step") % every == 0).orderBy("step")
+        for r in kept.toLocalIterator():  # one in ``every`` records
+            append_durable(path, r.asDict(recursive=True) | {"batch": batch_id})
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

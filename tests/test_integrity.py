@@ -1,5 +1,5 @@
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from hashlib import sha256
 
 import pytest
@@ -127,3 +127,96 @@ def test_bundle(spark, tmp_path):
     (tmp_path / "stream" / "part-00000001.u16").write_bytes(b"12")
     with pytest.raises(RuntimeError):
         A.load_bundle(spark, str(tmp_path), 2)
+
+
+def test_whole_bundle(spark, tmp_path):
+    """Everything a bundle must be is checked, and all that is wrong is named at once."""
+    stream = spark.createDataFrame([(0, 5, [1, 2, 3, 4, 5]), (5, 4, [6, 7, 8, 0])], "off bigint, n bigint, ids array<int>")
+    calls = []
+    A.write_stream(stream, str(tmp_path / "stream"), 9, chunk=4, progress=lambda part, n: calls.append((part, n)))
+    assert calls == [(0, 4), (1, 8), (2, 9)]
+    with pytest.raises(FileExistsError):
+        A.write_stream(stream, str(tmp_path / "stream"), 9, chunk=4)
+    (tmp_path / "tokenizer.json").write_text("{}")
+    held_out = spark.createDataFrame([(1, [3, 4, 5, 6, 7]), (0, [1, 2, 3, 4, 5])], "window_id bigint, ids array<int>")
+    for name in ("general", "edu"):
+        held_out.coalesce(1).write.parquet(str(tmp_path / f"validation-{name}"))
+    n, inputs, targets = A.windows_digests(held_out)
+    assert n == 8 and inputs == sha256(b"".join(x.to_bytes(8, "little") for x in (1, 2, 3, 4, 3, 4, 5, 6))).hexdigest()
+    raw = b"".join(x.to_bytes(2, "little") for x in (1, 2, 3, 4, 5, 6, 7, 8, 0))
+    tokenizer, prefix = sha256(b"{}").hexdigest(), sha256(raw[:6]).hexdigest()
+    manifest = {
+        "id": "run-1",
+        "mode": "full_stream",
+        "dataset": {"repo": "r", "revision": "v"},
+        "tokenizer": {"vocab_size": 8192, "special_tokens": ["<eod>"], "sha256": tokenizer},
+        "stream": {"storage": "uint16", "context": 4, "non_cycled": True, "windows": 2, "prediction_tokens": 8, "stored_ids": 9, "bytes": 18, "sha256": sha256(raw).hexdigest()},
+        "validations": {x: {"prediction_tokens": 8, "inputs_sha256": inputs, "targets_sha256": targets, "contamination_screened": True} for x in ("general", "edu")},
+        "prefixes": {"first": {"ids": 3, "sha256": prefix, "match": True}},
+        "mixture": {"deduplication": "canonical_content_sha256", "sources": ["a", "b"], "unique_documents": 2, "target_prediction_tokens": {"a": 5, "b": 3}, "actual_prediction_tokens": {"a": 5, "b": 3}},
+    }
+    manifest["files"] = [r.asDict() for r in I.manifest(spark, str(tmp_path)).collect()]
+    want = A.Expected(("run-1",), {"repo": "r", "revision": "v"}, 8192, ("<eod>",), 4, 8, 8, tokenizer, None, ("edu",), {"general": (inputs, targets), "edu": None}, (("first", 3, prefix),), {"sources": ["a", "b"], "target_prediction_tokens": {"a": 5, "b": 3}})
+    (tmp_path / "manifest.json").write_text(json.dumps(manifest))
+    bundle = A.open_bundle(spark, str(tmp_path), want, 4, visible=6)
+    assert sorted(x for r in bundle.stream.collect() for x in r.ids) == [1, 2, 3, 4, 5, 6] and set(bundle.validations) == {"general", "edu"} and len(bundle.manifest_sha256) == 64
+
+    def problems(change=(), **fields):
+        own = json.loads(json.dumps(manifest))
+        for path, value in change:
+            at = own
+            *front, last = path.split(".")
+            for k in front:
+                at = at[k]
+            at[last] = value
+        (tmp_path / "manifest.json").write_text(json.dumps(own))
+        return A.bundle_problems(spark, str(tmp_path), replace(want, **fields))
+
+    assert problems([("id", "x"), ("mode", "preparation"), ("dataset.revision", "w")]) == ["id", "mode", "dataset"]
+    assert problems([("tokenizer.vocab_size", 1), ("stream.non_cycled", False), ("stream.stored_ids", 8), ("stream.sha256", "0")]) == ["vocabulary", "stream form", "stream size", "stream digest"]
+    assert problems([("validations.edu.contamination_screened", False), ("validations.general.targets_sha256", "0"), ("prefixes.first.match", False)]) == ["prefix first in the manifest", "general validation digests", "edu validation not screened"]
+    assert problems([("mixture.unique_documents", 0), ("mixture.actual_prediction_tokens.a", 4)]) == ["mixture", "mixture accounting"]
+    assert problems(prefixes=(("first", 3, "0"),))[:1] == ["prefix first"] and problems(stream_sha256="0") == ["stream digest"] and problems(tokenizer_sha256="0") == ["tokenizer digest"]
+    (tmp_path / "tokenizer.json").write_text("{ }")
+    with pytest.raises(RuntimeError, match="tokenizer.json altered, tokenizer digest"):
+        problems()
+        A.open_bundle(spark, str(tmp_path), want, 4)
+
+
+def test_a_stream_that_fails_leaves_nothing(spark, tmp_path):
+    bad = spark.createDataFrame([(0, 2, [1, 2]), (1, 2, [3, 4])], "off bigint, n bigint, ids array<int>")  # overlap
+    with pytest.raises(RuntimeError):
+        A.write_stream(bad, str(tmp_path / "stream"), 4, chunk=2)
+    assert not (tmp_path / "stream").exists()
+
+
+def test_prefixes_that_may_fail(tmp_path):
+    p = tmp_path / "f"
+    p.write_bytes(b"abcdefghi")
+    d = lambda n: sha256(b"abcdefghi"[:n]).hexdigest()
+    assert I.prefix_matches(p, 4, d(4)) and not I.prefix_matches(p, 4, d(5)) and not I.prefix_matches(p, 10, d(9)) and not I.prefix_matches(p, 0, d(0))
+    assert I.prefix_chain(p, [("a", 2, d(2)), ("b", 5, d(4)), ("c", 9, d(9)), ("d", 12, d(9))]) == ["b", "d"]
+    with pytest.raises(ValueError):
+        I.prefix_chain(p, [("a", 5, d(5)), ("b", 5, d(5))])
+
+
+def test_durable_lines_and_all_rules(spark, tmp_path):
+    for k in (2, 1):
+        I.append_durable(tmp_path / "log", {"step": k, "a": None})
+    assert (tmp_path / "log").read_text() == '{"a": null, "step": 2}\n{"a": null, "step": 1}\n'
+    rows = spark.createDataFrame([(1, 0.5), (2, 3.0)], "k int, v double")
+    got = I.all_violations({"x": (rows, "k", {"share": I.share(F.col("v")), "odd": F.col("k") % 2 == 1}), "y": (rows, "k", {"big": F.col("v") > 1})}).collect()
+    assert sorted(map(tuple, got)) == [("x", "2", "odd"), ("x", "2", "share"), ("y", "1", "big")]
+
+
+def test_link_destinations():
+    text = '[a [b] c](one.md "title") ![x](<two three.md>) [p](four(1).md) `[no](code.md)` ``[no](`x`.md)``\n~~~~\n[no](in.md)\n~~~\n[no](still.md)\n~~~~\n[r]: five.md "t"\n[s]: <six seven.md>\n[open](never.md'
+    assert I.link_targets(text) == ["five.md", "six seven.md", "one.md", "two three.md", "four(1).md"]
+    assert I.link_targets("") == I.link_targets("[]() \\[x]") == []
+
+
+def test_copy_of_an_index(spark, tmp_path):
+    spark.createDataFrame([(bytes(32),), (b"\1" * 32,)], "value binary").write.parquet(str(tmp_path / "index"))
+    assert A.copy_index(spark, str(tmp_path / "index"), str(tmp_path / "copy")).count() == 2
+    with pytest.raises(Exception, match="already exists"):
+        A.copy_index(spark, str(tmp_path / "index"), str(tmp_path / "copy"))
