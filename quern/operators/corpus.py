@@ -92,6 +92,6 @@ def validation_budget(rows: DataFrame, required: int) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, name: str, order: list[str], out: str = "unique_name") -> DataFrame:
-    """``rows`` with a name of their own: the second of a name, in order, has ``.1`` behind it, the next ``.2``."""
+    """``rows`` with a name of their own: the second of a name, in order, has ``.1`` behind it, the next ``.2``. A null stays null."""
     placed = place_in_group(rows, [name], order, "_nth", label="names")
-    return placed.withColumn(out, F.when(F.col("_nth") > 0, F.concat_ws(".", name, F.col("_nth").cast("string"))).otherwise(F.col(name))).drop("_nth")
+    return placed.withColumn(out, F.when(F.col("_nth") > 0, F.concat(name, F.lit("."), F.col("_nth").cast("string"))).otherwise(F.col(name))).drop("_nth")

@@ -152,3 +152,44 @@ def test_first_in_source(spark):
     rows = spark.createDataFrame([("a", 2, 1, "x"), ("a", 1, 2, "x"), ("b", 9, 3, "x"), (None, 1, 4, "x")], "source string, ordinal int, doc_id int, document_id string")
     assert sorted(r.doc_id for r in M.first_in_source(rows).collect()) == [2, 3, 4]
     assert M.first_in_source(rows.where(F.lit(False))).isEmpty()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_mixture_goes_on_from_its_state(spark, seed):
+    """Stored in two parts it is what it is in one, though the first part ends within a document and rows come behind."""
+    r = random.Random(20 + seed)
+    ids = [f"d{k}" for k in range(60)]
+    length = {d: r.randint(0, 9) for d in ids}
+    rows = [(s, k, s * 100 + k, d, length[d]) for s in (0, 1) for k, d in enumerate(r.choices(ids, k=50))]
+    short, targets = (8, 4), (40, 20)
+    want = sequential(rows, targets, 61)
+    if want is None:
+        pytest.skip("a source ends")
+    frame = lambda x: spark.createDataFrame([(*row, "t", 1) for row in x], SCHEMA)
+    first = M.emission(M.merge(frame([x for x in rows if x[1] < 25]), short), 13)
+    rest = M.extend(frame(rows), *M.state(first), targets, 61)
+    both = [(x.doc_id, x.off, x.n) for x in first.where("n = stored").collect() + rest.collect()]
+    assert sorted(both, key=lambda x: x[1]) == want[0]
+
+
+@pytest.mark.parametrize("first, second, ended", [(["a"], "bcdef", 0), ("abcdef", ["g"], 1), ("abcdef", [], 1), ("abc", "bcdefg", 0), ("abcdef", "ghijkl", None)])
+def test_which_source_ends(spark, first, second, ended):
+    merged = M.merge(spark.createDataFrame([(*r, "t", 1) for r in docs(0, first) + docs(1, second)], SCHEMA), (12, 6))
+    assert [r.src for r in M.first_to_end(merged, 19).collect()] == ([] if ended is None else [ended])
+
+
+def test_plans(spark):
+    M.check_plan(("a", "b"), ("a", "b"), (2, 1), 4)
+    for bad in ((("b", "a"), ("a", "b"), (2, 1), 4), (("a", "b"), ("a", "b"), (2, 0), 3), (("a", "b"), ("a", "b"), (2, 1), 3), (("a", "b"), ("a", "b"), (2,), 3)):
+        with pytest.raises(ValueError):
+            M.check_plan(*bad)
+
+
+def test_validation_budget_and_names(spark):
+    rows = spark.createDataFrame([("train", 1, 1, 4), ("validation", 2, 2, 4), ("train", 3, 3, 4), ("validation", 4, 4, 4), ("train", 5, 5, 4), ("other", 2, 6, 4)], "split string, ordinal int, doc_id int, n_tokens int")
+    assert sorted(r.doc_id for r in C.validation_budget(rows, 6).collect()) == [1, 2, 3, 4]
+    assert sorted(r.doc_id for r in C.validation_budget(rows, 2).collect()) == [1, 2]
+    with pytest.raises(RuntimeError):
+        C.validation_budget(rows, 10)
+    names = spark.createDataFrame([(k, n) for k, n in enumerate(["x", "y", "x", None, "x", None])], "k int, name string")
+    assert {r.k: r.unique_name for r in C.unique_names(names, "name", ["k"]).collect()} == {0: "x", 1: "y", 2: "x.1", 3: None, 4: "x.2", 5: None}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import packing as P
 from quern.operators import schedule as S
-from quern.operators.prefix import running_total
+from quern.operators.prefix import place_in_group, previous, running_total
 from quern.sources import artifacts as A
 
 SCHEMA = "seq bigint, ids array<int>, source string, off int, n int"
@@ -155,3 +155,48 @@ def test_running_total_with_null_groups_and_many_batches(spark):
         assert got[o] == sums.get(g, 0) and plain[o] == whole
         sums[g], whole = sums.get(g, 0) + v, whole + v
     assert running_total(spark.createDataFrame([], "g string, o int, v int"), "v", ["o"], "before", by=["g"]).isEmpty()
+
+
+def test_previous_and_places(spark):
+    """The row before in a group, over parts, batches and null groups."""
+    r = random.Random(9)
+    rows = [(r.choice(["a", "b", None]), k, r.choice([None, 1, 2, 3])) for k in range(2000)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        df = spark.createDataFrame(rows, "g string, o int, v int")
+        got = {x.o: x.was for x in previous(df.repartition(5), "v", ["o"], "was", ["g"]).collect()}
+        places = {x.o: x.at for x in place_in_group(df, ["g"], ["o"], "at").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    last, n = {}, {}
+    for g, o, v in rows:
+        assert got[o] == last.get(g) and places[o] == n.get(g, 0)
+        last[g], n[g] = v, n.get(g, 0) + 1
+    empty = spark.createDataFrame([], "g string, o int, v int")
+    assert previous(empty, "v", ["o"], "was", ["g"]).isEmpty() and place_in_group(empty, ["g"], ["o"], "at").isEmpty()
+
+
+def test_cursor_of_a_schedule(spark):
+    own = spark.createDataFrame([(s, k, (k * 3) % 10) for s in ("x", "y") for k in range(10)], "schedule string, position int, window_id int")
+    rows, cursor = P.Cursor.after(2, 2, "x", "d").take(own, 4, 10, "d")
+    assert sorted((r.position, r.window_id) for r in rows.collect()) == [(4, 2), (5, 5), (6, 8), (7, 1)] and cursor == P.Cursor(8, "x", "d")
+    with pytest.raises(RuntimeError):
+        cursor.take(own, 2, 10, "other")
+    with pytest.raises(IndexError):
+        cursor.take(own, 3, 10, "d")
+
+
+def test_capacities(spark):
+    schema = "experiment string, artifact string, tokens bigint"
+    permitted = spark.createDataFrame([("e", "a", 1024), ("e", "b", 1000), ("e", "a", 1024)], schema)
+    asked = spark.createDataFrame([("e", "a", 1024), ("e", "a", 512), ("e", "b", 1000), ("f", "a", 1024), (None, "a", None)], schema)
+    assert sorted(((r.experiment, r.artifact, r.tokens, r.windows) for r in P.capacities(asked, permitted).collect()), key=str) == sorted([("e", "a", 1024, 2), ("e", "a", 512, None), ("e", "b", 1000, None), ("f", "a", 1024, None), (None, "a", None, None)], key=str)
+
+
+def test_set_digest_depends_on_order_and_members_alone(spark):
+    rows = [(k, sha256(str(k).encode()).hexdigest()) for k in range(50)]
+    df = spark.createDataFrame(rows, "window_id bigint, digest string")
+    one = P.set_digest(df.repartition(7), 8)
+    runs = [sha256(b"".join(bytes.fromhex(d) for _, d in rows[k : k + 8])).digest() for k in range(0, 50, 8)]
+    assert one == P.set_digest(df, 8) == sha256(b"".join(runs)).hexdigest() != P.set_digest(df.where("window_id <> 3"), 8)

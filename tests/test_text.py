@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 
-ODD = ["A document with normalized\r\nline endings.", "A document with normalized\rline endings.", "A document with normalized\nline endings.", "é é Å", "ß İ ς Σ ﬁ", "각 한", "x", "\x1c\x85　 y", "ä́b क़", "<|endoftext|>", "日本語 ２０２４ ½", "z" * 70_000]
+ODD = ["one\r\n\r\ntwo", "one\r\rtwo", "one\n\ntwo", "é é Å", "ß İ ς Σ ﬁ", "각 한", "x", "\x1c\x85　 y", "ä́b क़", "<|endoftext|>", "日本語 ２０２４ ½", "z" * 70_000]
 BLANK = ["", " ", "\x1c\x1f", "\x85 　\xa0", None]
 
 
