@@ -11,11 +11,14 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.hashing import WordHashes, shingles
+
 # They decide ids, splits and digests.
 SPLIT_SEED, SPLIT_MODULUS, SPLIT_CUTOFF = 42, 10_000, 200
 NGRAM_WIDTH = 13
@@ -73,7 +76,22 @@ def normalize_for_ngrams(text: str) -> list[str]:
 def ngram_digests(text: str, width: int = NGRAM_WIDTH) -> set[bytes]:
     """SHA-256 of each run of ``width`` tokens; none if the text has fewer."""
     tokens = normalize_for_ngrams(text)
-    return {sha256(NGRAM_JOINER.join(tokens[i : i + width]).encode("utf-8", "surrogatepass")).digest() for i in range(len(tokens) - width + 1)}
+    return {ngram_digest(tokens[i : i + width]) for i in range(len(tokens) - width + 1)}
+
+
+def ngram_digest(tokens: list[str]) -> bytes:
+    return sha256(NGRAM_JOINER.join(tokens).encode("utf-8", "surrogatepass")).digest()
+
+
+class NgramHasher:
+    """Hashes of the runs of ``width`` tokens of a text: the same tokens have the same hash."""
+
+    def __init__(self, width: int = NGRAM_WIDTH) -> None:
+        self.width, self._get = width, WordHashes().__getitem__
+
+    def read(self, text: str) -> tuple[list[str], np.ndarray]:
+        tokens = normalize_for_ngrams(text)
+        return tokens, shingles(np.fromiter(map(self._get, tokens), np.uint64, len(tokens)), self.width)
 
 
 def source_text_digest(texts: DataFrame) -> DataFrame:

@@ -144,9 +144,7 @@ def contamination_decisions(spark, d):
 
 
 def _screened(spark, d):
-    rows = _identified(spark, d)
-    slim = rows.withColumn("n_tokens", _n_words(F.col("text"))).drop("text")
-    return X.screened(slim, rows, _index(spark, d))
+    return X.screened(_identified(spark, d).withColumn("n_tokens", _n_words(F.col("text"))), _index(spark, d))
 
 
 @query
@@ -220,8 +218,8 @@ def capped_token_prefix(spark, d):
 # --- mixture
 
 
-def _mixture_rows(spark, d):
-    rows = _screened(spark, d).where(F.col("source").isin(*SOURCES) & ~F.col("rejected") & (F.col("split") == "train"))
+def _mixture_rows(spark, d, screened=None):
+    rows = (screened or _screened(spark, d)).where(F.col("source").isin(*SOURCES) & ~F.col("rejected") & (F.col("split") == "train"))
     slim = rows.select(F.when(F.col("source") == SOURCES[0], 0).otherwise(1).alias("src"), "ordinal", "doc_id", "document_id", "n_tokens")
     return materialize(slim, "mixture-input")
 
@@ -233,8 +231,8 @@ def _targets(rows) -> tuple[int, int]:
     return 2 * k, k
 
 
-def _mixed(spark, d):
-    rows = _mixture_rows(spark, d)
+def _mixed(spark, d, screened=None):
+    rows = _mixture_rows(spark, d, screened)
     targets = _targets(rows)
     M.check_plan(SOURCES, ("fineweb", "fineweb_edu"), targets, sum(targets) + 1)
     merged = materialize(M.merge(rows, targets), "mixture-merged")
@@ -254,9 +252,10 @@ def mixture_accounting(spark, d):
 @query
 def screen_counters_drawn(spark, d):
     """Counters over the rows the mixture drew: up to the last emitted document of each source."""
-    last = _mixed(spark, d)[2].groupBy("src").agg(F.max(F.struct("ordinal", "doc_id")).alias("last"))
+    screened = materialize(_screened(spark, d), "screened")
+    last = _mixed(spark, d, screened)[2].groupBy("src").agg(F.max(F.struct("ordinal", "doc_id")).alias("last"))
     last = last.select(F.when(F.col("src") == 0, SOURCES[0]).otherwise(SOURCES[1]).alias("source"), "last")
-    rows = _screened(spark, d).join(F.broadcast(last), "source").where(F.struct("ordinal", "doc_id") <= F.col("last"))
+    rows = screened.join(F.broadcast(last), "source").where(F.struct("ordinal", "doc_id") <= F.col("last"))
     return X.counters(rows)
 
 

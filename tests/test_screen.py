@@ -29,15 +29,18 @@ def test_large_index_by_filter_and_exact_join(spark, monkeypatch, filter_bytes):
     """Only what the filter may hold is joined; a filter far too small, and rows that are no digest, change nothing."""
     monkeypatch.setattr("quern.functions.sketch.SEGMENT", 64)
     docs, index = tables(spark)
-    more = spark.range(3000).selectExpr("unhex(sha2(cast(id as string), 256)) as value").unionByName(index)
+    more = spark.range(3000).selectExpr("unhex(sha2(cast(id as string), 256)) as value").unionByName(index.select("value"))
     dirty = more.unionByName(spark.createDataFrame([(None,), (b"",), (b"short",)], "value binary"))
     want = {(r.id, bytes(r.value)) for r in X.overlaps(docs, index).collect()}
+    plain = index.select("value")
+    assert want == {(r.id, bytes(r.value)) for r in X.overlaps(docs, plain).collect()} == {(r.id, bytes(r.value)) for r in X.overlaps(docs, index, shared_digests=1, filter_bytes=filter_bytes).collect()}
     assert want == {(r.id, bytes(r.value)) for r in X.overlaps(docs, dirty, shared_digests=100, filter_bytes=filter_bytes).collect()}
 
 
 def test_screen_comes_before_the_split(spark):
     rows = spark.createDataFrame([("s", 1, 1, f"x {ITEM}", "train"), ("s", 2, 2, "clean text", "train"), ("s", 3, 3, "held out", "validation")], "source string, ordinal int, doc_id int, text string, split string")
-    screened = X.screened(rows.drop("text"), rows, tables(spark)[1])
+    screened = X.screened(rows, tables(spark)[1])
+    assert sorted(screened.collect()) == sorted(X.screened(rows, tables(spark)[1], shared_digests=0).select(*screened.columns).collect())
     assert [r.doc_id for r in screened.where(~F.col("rejected")).orderBy("doc_id").collect()] == [2, 3]
     assert tuple(X.counters(screened).first()) == ("s", 3, 2, 1, 1)
 
