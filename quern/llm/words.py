@@ -15,12 +15,11 @@ from itertools import accumulate
 
 import numpy as np
 import regex
-import xxhash
+
+from quern.functions.hashing import WordHashes, mix, shingles  # noqa: F401
 
 #: ``[^\W_]`` is exactly the categories L and N (tested over all code points).
 WORD = re.compile(r"[^\W_]+")
-#: Entries kept in a word-to-hash memo before it starts afresh; bounds a worker's memory, not the result.
-MEMO_ENTRIES = 1_000_000
 
 
 def fold(text: str) -> str:
@@ -59,21 +58,11 @@ def word_spans(text: str) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash, computed at the first sight of a word."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
 class WordHasher:
     """Hashes the words of a batch of texts into one flat array with a word count for each text."""
 
     def __init__(self) -> None:
-        self._memo = _Hashes()
+        self._memo = WordHashes()
 
     def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         get, out, counts = self._memo.__getitem__, array("Q"), np.zeros(len(texts), np.int64)
@@ -85,28 +74,6 @@ class WordHasher:
         return np.frombuffer(out, np.uint64) if out else np.zeros(0, np.uint64), counts
 
 
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_S = np.uint64(29)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit values."""
-    h = (h ^ (h >> _S)) * _A
-    h = (h ^ (h >> _S)) * _B
-    return h ^ (h >> _S)
-
-
-def shingles(flat: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all runs of ``width`` consecutive entries, order-sensitive."""
-    n = len(flat) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = flat[:n] * _A
-    for k in range(1, width):
-        h = ((h ^ (h >> _S)) + flat[k : k + n]) * _C
-    return mix(h)
-
-
 def shingle_sets(hasher: WordHasher, texts: list[str | None], width: int, min_words: int) -> list[np.ndarray | None]:
     """For each text its sorted set of shingle hashes, or None if it has fewer than ``min_words`` words."""
     flat, counts = hasher.flat(texts)
