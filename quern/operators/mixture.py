@@ -15,6 +15,7 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,35 @@ def _lost(sides: list[Iterator[tuple[list[int], list[int], list[int]]]], n: int,
                 yield s, np.arange(start, min(n, start + BLOCK))
 
 
+def _losses(shared: DataFrame, scale: tuple[int, int]) -> DataFrame:
+    """(src, document_id, lost) of what the other source drew before, of the documents that both have.
+
+    Up to ``BLOCK`` of them the driver takes as they are; more are numbered and written, and it takes them by blocks.
+    """
+    spark = shared.sparkSession
+    few = shared.limit(2 * BLOCK + 1).toArrow()
+    if few.num_rows <= 2 * BLOCK:
+        few = few.take(pc.sort_indices(few, [(c, "ascending") for c in ("src", *ORDER)], null_placement="at_start"))
+        n = few.num_rows // 2
+        ids = few["document_id"].to_pylist()
+        twin = {d: k for k, d in enumerate(ids[:n])}
+        sides = [iter([([twin[d] for d in ids[s * n : s * n + n]], few["all_before"][s * n : s * n + n].to_pylist(), few["stored"][s * n : s * n + n].to_pylist())] if n else []) for s in (0, 1)]
+        gone = [(s, ids[s * n + k]) for s, places in _lost(sides, n, scale) for k in places.tolist()]
+        found = pa.table({"src": pa.array([s for s, _ in gone], pa.int32()), "document_id": pa.array([d for _, d in gone], pa.string()), "lost": pa.array([True] * len(gone), pa.bool_())})
+        return F.broadcast(spark.createDataFrame(found, "src int, document_id string, lost boolean"))
+    numbered = running_total(shared.withColumn("one", F.lit(1).cast("bigint")), "one", ORDER, "pos", by=["src"], label="mixture-places")
+    twins = numbered.where("src = 0").select("document_id", F.col("pos").alias("twin"))
+    rows = numbered.join(twins, "document_id").select("src", "pos", "twin", "all_before", "stored", "document_id")
+    rows = materialize(rows.repartitionByRange("src", "pos").sortWithinPartitions("src", "pos"), "mixture-shared")
+    n = rows.where("src = 0").count()
+    path = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}-mixture-lost-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "src int, pos bigint").write.parquet(path)
+    for src, pos in _lost([_side(rows, s, n) for s in (0, 1)], n, scale):
+        if len(pos):
+            spark.createDataFrame(pa.table({"src": np.full(len(pos), src, np.int32), "pos": pos.astype(np.int64)})).write.mode("append").parquet(path)
+    return spark.read.schema("src int, pos bigint").parquet(path).join(rows, ["src", "pos"]).select("src", "document_id", F.lit(True).alias("lost"))
+
+
 def check_plan(sources: tuple[str, ...], order: tuple[str, ...], targets: tuple[int, ...], stored_total: int) -> None:
     """The sources in their fixed order, a positive target of predictions for each, and stored ids of one more than all; else an error."""
     if tuple(sources) != tuple(order):
@@ -113,17 +143,7 @@ def merge(rows: DataFrame, targets: tuple[int, int], start: tuple[int, int] = (0
     stored_before = F.when(F.col("src") == 0, F.lit(start[0])).otherwise(F.lit(start[1])).cast("bigint")
     everything = running_total(marked, "stored", ORDER, "all_before", by=["src"], label="mixture").withColumn("all_before", F.col("all_before") + stored_before)
     # all rows count at first; what a source loses is then taken off
-    numbered = running_total(everything.where("shared").withColumn("one", F.lit(1).cast("bigint")), "one", ORDER, "pos", by=["src"], label="mixture-places")
-    twins = numbered.where("src = 0").select("document_id", F.col("pos").alias("twin"))
-    shared = numbered.join(twins, "document_id").select("src", "pos", "twin", "all_before", "stored", "document_id")
-    shared = materialize(shared.repartitionByRange("src", "pos").sortWithinPartitions("src", "pos"), "mixture-shared")
-    n = shared.where("src = 0").count()
-    path = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}-mixture-lost-{uuid.uuid4().hex}"
-    spark.createDataFrame([], "src int, pos bigint").write.parquet(path)
-    for src, pos in _lost([_side(shared, s, n) for s in (0, 1)], n, scale):
-        if len(pos):
-            spark.createDataFrame(pa.table({"src": np.full(len(pos), src, np.int32), "pos": pos.astype(np.int64)})).write.mode("append").parquet(path)
-    lost = spark.read.schema("src int, pos bigint").parquet(path).join(shared, ["src", "pos"]).select("src", "document_id", F.lit(True).alias("lost"))
+    lost = _losses(everything.where("shared").select("src", *ORDER, "document_id", "all_before", "stored"), scale)
     own = everything.join(lost, ["src", "document_id"], "left").withColumn("kept", F.col("lost").isNull()).withColumn("owner", F.when(F.col("kept"), F.col("src")).otherwise(1 - F.col("src")))
     own = own.select("src", *ORDER, "document_id", "stored", "kept", "owner", F.when(F.col("kept"), F.col("stored")).otherwise(F.lit(0)).cast("bigint").alias("add"))
     return running_total(own, "add", ORDER, "before", by=["src"], label="mixture-keys").withColumn("before", F.col("before") + stored_before).withColumn("key", _key(F.col("before"), scale)).withColumn("after", _key(F.col("before") + F.col("add"), scale)).drop("add", "before")
