@@ -34,6 +34,9 @@ CORPUS = f"""
     FROM (SELECT *, sha256('42:' || document_id) AS h FROM corpus)),
   identified AS (SELECT * EXCLUDE (h), CASE WHEN bucket < 200 THEN 'validation' ELSE 'train' END AS split FROM bucketed)"""
 
+LENGTHS = f"""{CORPUS},
+  run AS (SELECT doc_id, len(string_split(text, ' ')) + 1 AS stored, CAST(sum(len(string_split(text, ' ')) + 1) OVER (ORDER BY ordinal, doc_id) AS BIGINT) AS upto, CAST(sum(len(string_split(text, ' ')) + 1) OVER () AS BIGINT) // 2 AS half FROM identified WHERE split = 'train')"""
+
 
 def _grams(name: str, key: str, table: str) -> str:
     return f"""
@@ -151,12 +154,11 @@ def oracle_sql() -> dict[str, str]:
         "dedup_first": f"WITH {CORPUS} SELECT source, doc_id, document_id FROM corpus QUALIFY row_number() OVER (PARTITION BY source, document_id ORDER BY ordinal, doc_id) = 1",
         "dedup_skip_counters": f"WITH {CORPUS} SELECT source, count(*) - count(DISTINCT document_id) AS intra_skips FROM corpus GROUP BY source",
         "unique_documents": f"WITH {CORPUS}, per AS (SELECT document_id, count(*) AS n, count(DISTINCT source) AS s FROM corpus GROUP BY document_id) SELECT count(*) AS documents, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (s > 1) AS in_several_sources FROM per",
-        "byte_budget_prefix": f"""WITH {CORPUS}, run AS (SELECT split, doc_id, strlen(text) AS n_bytes, CAST(sum(strlen(text)) OVER (PARTITION BY split ORDER BY ordinal, doc_id) - strlen(text) AS BIGINT) AS bytes_before FROM identified)
-          SELECT * FROM run WHERE bytes_before < CASE split WHEN 'train' THEN 100000 ELSE 5000 END""",
-        "token_budget_prefix": f"""WITH {CORPUS}, run AS (SELECT doc_id, len(string_split(text, ' ')) + 1 AS stored, CAST(sum(len(string_split(text, ' ')) + 1) OVER (ORDER BY ordinal, doc_id) AS BIGINT) AS upto FROM identified WHERE split = 'train')
-          SELECT doc_id, stored, upto - stored AS stored_before FROM run WHERE upto - stored < 5001""",
-        "capped_token_prefix": f"""WITH {CORPUS}, run AS (SELECT doc_id, len(string_split(text, ' ')) + 1 AS stored, CAST(sum(len(string_split(text, ' ')) + 1) OVER (ORDER BY ordinal, doc_id) AS BIGINT) AS upto FROM identified WHERE split = 'train')
-          SELECT doc_id, least(stored, 3585 - (upto - stored)) AS kept, upto - stored AS stored_before FROM run WHERE upto - stored < 3585""",
+        "byte_budget_prefix": f"""WITH {CORPUS}, run AS (SELECT split, doc_id, strlen(text) AS n_bytes, CAST(sum(strlen(text)) OVER (PARTITION BY split ORDER BY ordinal, doc_id) - strlen(text) AS BIGINT) AS bytes_before, sum(strlen(text)) OVER (PARTITION BY split) // 2 AS half FROM identified)
+          SELECT * EXCLUDE (half) FROM run WHERE bytes_before < half""",
+        "token_budget_prefix": f"""WITH {LENGTHS} SELECT doc_id, stored, upto - stored AS stored_before FROM run WHERE upto - stored < half + 1""",
+        "capped_token_prefix": f"""WITH {LENGTHS}, most AS (SELECT *, CAST(half // 512 * 512 + 1 AS BIGINT) AS most FROM run)
+          SELECT doc_id, least(stored, most - (upto - stored)) AS kept, upto - stored AS stored_before FROM most WHERE upto - stored < most""",
         "mixture_order": f"WITH RECURSIVE {MIXTURE} SELECT src, doc AS doc_id, off, n FROM fold WHERE kind = 'kept'",
         "mixture_accounting": f"""WITH RECURSIVE {MIXTURE} SELECT src, CAST(sum(n) AS BIGINT) AS stored_ids, CAST(sum(n) - count(*) FILTER (kind = 'kept' AND off = 0) AS BIGINT) AS prediction_ids, count(*) FILTER (kind = 'kept') AS documents,
           count(*) FILTER (kind = 'intra') AS intra_skips, count(*) FILTER (kind = 'cross') AS cross_skips FROM fold WHERE it > 0 GROUP BY src""",
@@ -220,7 +222,7 @@ def oracle_sql() -> dict[str, str]:
           WHERE (doc_id % 11 = 0) <> (doc_id % 13 = 0) OR (doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 = 0)""",
         "stream_drift": f"""WITH {STREAM} SELECT off, CASE WHEN seq % 19 = 0 THEN 'missing' WHEN seq % 23 = 0 AND list_reverse(ids) <> ids THEN 'ids' ELSE 'source' END AS problem FROM stream
           WHERE seq % 19 = 0 OR (seq % 23 = 0 AND list_reverse(ids) <> ids) OR seq % 29 = 0""",
-        "prefix_gate": f"WITH {STREAM} SELECT seq, off, n + 1 AS n FROM stream WHERE off < 20000 AND seq % 31 = 0",
+        "prefix_gate": f"WITH {STREAM} SELECT seq, off, n + 1 AS n FROM stream WHERE off < (SELECT sum(n) FROM stream) // 2 AND seq % 31 = 0",
         "config_difference": "SELECT * FROM (VALUES ('data.cutoff', '200', '100'), ('training.cooldown', NULL, '916')) t(path, one, other)",
         "progress_telemetry": """WITH x AS (SELECT event_type, event_id, CAST(floor(value * 10) AS BIGINT) AS stored, event_id % 100 AS documents, (event_id % 50)::DOUBLE AS seconds FROM events),
           y AS (SELECT *, lag(stored) OVER (PARTITION BY event_type ORDER BY event_id) AS was FROM x), z AS (SELECT *, CASE WHEN seconds > 0 THEN stored / seconds ELSE 0 END AS rate FROM y WHERE was IS DISTINCT FROM stored)

@@ -198,21 +198,27 @@ def unique_documents(spark, d):
 
 @query
 def byte_budget_prefix(spark, d):
-    return C.byte_budget(_identified(spark, d), {"train": 100_000, "validation": 5_000}).select("split", "doc_id", "n_bytes", "bytes_before")
+    """Of each split the documents that make up half of its bytes."""
+    rows = _identified(spark, d)
+    budgets = {r.split: r.n // 2 for r in rows.groupBy("split").agg(F.sum(F.octet_length("text")).alias("n")).collect()}  # two splits
+    return C.byte_budget(rows, budgets or {"train": 0}).select("split", "doc_id", "n_bytes", "bytes_before")
 
 
 def _train_lengths(spark, d):
-    return _identified(spark, d).where("split = 'train'").select("ordinal", "doc_id", _n_words(F.col("text")).alias("n_tokens"))
+    """(rows, half of their stored ids)"""
+    rows = materialize(_identified(spark, d).where("split = 'train'").select("ordinal", "doc_id", _n_words(F.col("text")).alias("n_tokens")), "lengths")
+    return rows, (rows.agg(F.sum(F.col("n_tokens") + 1)).first()[0] or 0) // 2
 
 
 @query
 def token_budget_prefix(spark, d):
-    return C.token_budget(_train_lengths(spark, d), 5_000).select("doc_id", "stored", "stored_before")
+    rows, half = _train_lengths(spark, d)
+    return C.token_budget(rows, half, strict=half > 0).select("doc_id", "stored", "stored_before")
 
 
 @query
 def capped_token_prefix(spark, d):
-    return C.capped_tokens(_train_lengths(spark, d), 4_000).select("doc_id", "kept", "stored_before")
+    return C.capped_tokens(*_train_lengths(spark, d)).select("doc_id", "kept", "stored_before")
 
 
 # --- mixture
@@ -524,7 +530,7 @@ def stream_drift(spark, d):
 @query
 def prefix_gate(spark, d):
     x = materialize(_stream(spark, d).select("seq", "off", "n"), "stream")
-    shorter = x.where("off < 20000").withColumn("n", F.when(F.col("seq") % 31 == 0, F.col("n") + 1).otherwise(F.col("n")))
+    shorter = x.where(F.col("off") < _stored(x) // 2).withColumn("n", F.when(F.col("seq") % 31 == 0, F.col("n") + 1).otherwise(F.col("n")))
     return I.prefix_gate(x, shorter, ["seq", "off", "n"])
 
 

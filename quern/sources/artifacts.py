@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
+import io
 import json
 import os
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import MISSING, dataclass, field, fields, is_dataclass
 from pathlib import Path
@@ -294,6 +297,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, event:
     return rows if event is None else rows.where(F.col("event") == event)
 
 
+def read_zipped_jsonl(spark: SparkSession, path: str, members: str, schema: StructType | str) -> DataFrame:
+    """JSON records, a line each, of the members of zip archives whose names match a pattern (``*`` and ``?``); a broken line is an error.
+
+    Each archive is opened where it is read. Archives from elsewhere are fetched to the shared folder first, once.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for name in sorted(x for x in z.namelist() if fnmatch.fnmatchcase(x, members)):
+                        with z.open(name) as f:
+                            while lines := f.readlines(1 << 22):
+                                yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in lines if x.strip()], pa.string())], names=["line"])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    kind = schema if isinstance(schema, str) else schema.simpleString()
+    return files.mapInArrow(run, "line string").select(F.from_json("line", kind, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
+
+
 def read_json_object(path: str | Path) -> dict:
     value = json.loads(Path(path).read_text(encoding="utf-8"))
     if not isinstance(value, dict):

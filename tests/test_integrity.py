@@ -1,4 +1,5 @@
 import json
+import zipfile
 from dataclasses import dataclass, replace
 from hashlib import sha256
 
@@ -220,3 +221,14 @@ def test_copy_of_an_index(spark, tmp_path):
     assert A.copy_index(spark, str(tmp_path / "index"), str(tmp_path / "copy")).count() == 2
     with pytest.raises(Exception, match="already exists"):
         A.copy_index(spark, str(tmp_path / "index"), str(tmp_path / "copy"))
+
+
+def test_zipped_records(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in/train.jsonl", '{"q": "ä", "n": 1}\n\n{"q": null, "n": 2}')
+        z.writestr("in/test.txt", "no json")
+    rows = A.read_zipped_jsonl(spark, str(tmp_path / "a.zip"), "*.jsonl", "q string, n int")
+    assert {tuple(r) for r in rows.collect()} == {("ä", 1), (None, 2)}
+    assert A.read_zipped_jsonl(spark, str(tmp_path / "a.zip"), "*.other", "q string").isEmpty()
+    with pytest.raises(Exception):
+        A.read_zipped_jsonl(spark, str(tmp_path / "a.zip"), "in/*", "q string, n int").collect()
