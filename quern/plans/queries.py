@@ -352,8 +352,8 @@ def low_high_distribution(spark, d):
 
 @query
 def treatment_contrast(spark, d):
-    phases = _phases(spark, d)[0]
-    return phases.agg(F.round((F.avg(F.when(F.col("phase") == "HIGH", F.col("n"))) - F.avg(F.when(F.col("phase") == "LOW", F.col("n")))) / P.CONTEXT, 9).alias("contrast"))
+    value = S.contrast(_phases(spark, d)[0], P.CONTEXT)
+    return spark.createDataFrame([(value,)], "contrast double").select(F.round("contrast", 9).alias("contrast"))
 
 
 # --- requests and evaluation

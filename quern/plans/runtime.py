@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,6 +32,8 @@ def drop_materialized(spark: SparkSession) -> None:
     for status in files.listStatus(target) if files.exists(target) else []:
         if status.getPath().getName().startswith(f"{app}-"):
             files.delete(status.getPath(), True)
+    for t in spark.catalog.listTables(pattern=f"{_tables(spark)}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
 
 
 def is_local(spark: SparkSession) -> bool:
@@ -66,13 +69,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> str:
+    """How the names of this session's bucketed tables begin."""
+    return "quern_" + re.sub(r"\W", "_", spark.sparkContext.applicationId) + "_"
+
+
 def materialize_bucketed(df: DataFrame, label: str, buckets: int, key: str) -> DataFrame:
     """As ``materialize``, in files by a hash of ``key``: joins and groups by it need no further shuffle.
 
     ``df`` should come from ``repartition(buckets, key)``, so that each task writes one file.
     """
     spark = df.sparkSession
-    name = f"quern_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    name = f"{_tables(spark)}{label.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
