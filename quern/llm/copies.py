@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.sketch import Membership
-from quern.llm.words import words
+from quern.llm.words import mix, words
 from quern.plans.runtime import materialize, spread
 
 DIGEST_BYTES = 16
-#: Most bytes of the broadcast filter of repeated digests. Beyond it more single documents are compared.
+#: Most bytes of the broadcast filter of the documents in groups. Beyond it more single documents are compared.
 FILTER_BYTES = 1 << 25
 #: A group of more than this share of all rows is joined by broadcast; there are at most as many such groups.
 HEAVY_SHARE = 1000
@@ -93,23 +93,29 @@ def _digests(size: int):
     return run
 
 
-def _digest_hashes(digests: list[bytes]) -> np.ndarray:
-    return np.array([int.from_bytes(blake2b(x, digest_size=8).digest(), "little") for x in digests], np.uint64)
+def _id_hashes(b: pa.RecordBatch) -> np.ndarray:
+    return mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(1))
 
 
-def _structures(repeated, size: int):
+def _structures(grouped, size: int):
+    """Structures of the documents that the filter may hold; the others are not read again."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Membership(repeated.value)
+        index = Membership(grouped.value)
         for b in batches:
+            b = b.filter(pa.array(index.might_contain(_id_hashes(b))))
             found = [(d, root_digest(s, size), s) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (s := structure(t))]
-            if found:
-                keep = index.might_contain(_digest_hashes([x for _, x, _ in found])).tolist()
-                found = [f for f, k in zip(found, keep) if k]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.binary()), pa.array(["\x1f".join(s) for _, _, s in found], pa.string())], names=["doc_id", "digest", "structure"])
 
     return run
 
 
+def _of_groups(rows: DataFrame, groups: DataFrame, size: str, total: int) -> DataFrame:
+    """``rows`` joined to ``groups`` by digest; those of the few groups with more than a ``HEAVY_SHARE``-th of ``total`` rows where they lie."""
+    heavy = F.col(size) * HEAVY_SHARE > total
+    return rows.join(groups.where(~heavy).drop(size), "digest").unionByName(rows.join(F.broadcast(groups.where(heavy).drop(size)), "digest"))
+
+
 def form_copies(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = DIGEST_BYTES, filter_bytes: int = FILTER_BYTES) -> tuple[DataFrame, DataFrame]:
     """(groups, members): groups has keep_id and copies of each group of two or more, members each other document's doc_id with its keep_id.
 
@@ -119,8 +125,10 @@ def form_copies(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = documents.sparkSession
     own = spread(documents, id_col).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     thin = materialize(own.mapInArrow(_digests(digest_bytes), "doc_id bigint, digest binary"), "p3-digests")
-    repeated = materialize(thin.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "p3-repeated")
-    index = spark.sparkContext.broadcast(Membership.build(repeated, repeated.count(), lambda b: _digest_hashes(b.column(0).to_pylist()), filter_bytes).bits)
+    repeated = materialize(thin.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "p3-repeated")
+    total = thin.count()
+    grouped = materialize(_of_groups(thin, repeated, "n", total), "p3-grouped")
+    index = spark.sparkContext.broadcast(Membership.build(grouped.select("doc_id"), grouped.count(), _id_hashes, filter_bytes).bits)
 
     compared = own.mapInArrow(_structures(index, digest_bytes), "doc_id bigint, digest binary, structure string")
     confirmed = compared.groupBy("digest", "structure").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
@@ -130,9 +138,7 @@ def form_copies(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     groups = materialize(shapes.where("copies > 1"), "p3-groups")
 
     plain, mixed = groups.where("shapes = 1"), groups.where("shapes > 1")
-    total = thin.count()
-    heavy = F.col("copies") * HEAVY_SHARE > total
-    members = thin.join(plain.where(~heavy).select("digest", "keep_id"), "digest").unionByName(thin.join(F.broadcast(plain.where(heavy).select("digest", "keep_id")), "digest"))
+    members = _of_groups(grouped, plain.select("digest", "keep_id", "copies"), "copies", total)
     if not mixed.isEmpty():
         members = members.unionByName(compared.join(mixed.select("digest", "structure", "keep_id"), ["digest", "structure"]).select("digest", "doc_id", "keep_id"))
     return groups.select("keep_id", "copies"), members.where("doc_id <> keep_id").select("keep_id", "doc_id")
