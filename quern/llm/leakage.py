@@ -181,6 +181,11 @@ def by_item(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
     return found(documents, items, **options).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def word_spans_of(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """(doc_id, first, last) of each merged span, in words."""
+    return leaks(documents, items, **options).select("doc_id", F.explode("spans").alias("x")).select("doc_id", F.col("x.start").alias("first"), (F.col("x.end") - 1).alias("last"))
+
+
 def _without(text: str, spans: str) -> Column:
     """The text without the characters of the spans, which are in order."""
     ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x.end))

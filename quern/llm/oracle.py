@@ -69,6 +69,10 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"WITH {P3_GROUPS} SELECT keep_id, doc_id FROM shapes JOIN keeps USING (shape) WHERE doc_id <> keep_id",
         "p3_copies": f"WITH {P3_GROUPS} SELECT keep_id, copies FROM keeps",
         "p4_found": f"WITH {P4_RUNS} SELECT doc_id, item_id FROM hits",
+        "p4_word_spans": f"""WITH {P4_RUNS},
+          placed AS (SELECT doc_id, pos FROM (SELECT id AS doc_id, w, unnest(range(len(w) - 12)) AS pos FROM words WHERE doc) WHERE array_to_string(w[pos + 1 : pos + 13], ' ') IN (SELECT run FROM runs WHERE NOT doc)),
+          islands AS (SELECT doc_id, pos, sum(apart) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT *, coalesce((pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 13)::INT, 1) AS apart FROM placed))
+          SELECT doc_id, CAST(min(pos) AS INT) AS first, CAST(max(pos) + 12 AS INT) AS last FROM islands GROUP BY doc_id, island""",
         "p4_items": f"WITH {P4_RUNS} SELECT item_id, count(*) AS documents FROM hits GROUP BY item_id",
         "p2_sample": f"WITH {P2_SEQUENCE} SELECT document_id, split, first_batch, records, seq FROM chosen WHERE selected",
         "p2_growth": f"""WITH {P2_SEQUENCE}, each AS (SELECT split, first_batch, count(*) AS new_keys, count(*) FILTER (selected) AS new_selected FROM chosen GROUP BY ALL)

@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": _on(leakage.found, "documents", "benchmark"),
         "p4_items": _on(leakage.by_item, "documents", "benchmark"),
         "p4_spans": _on(leakage.leaks, "documents", "benchmark"),
+        "p4_word_spans": _on(leakage.word_spans_of, "documents", "benchmark"),
         "p4_removed": _on(leakage.removed, "documents", "benchmark"),
         "p5_windows": _on(packing.pack, "token_docs", "size_limits"),
         "p5_room": _on(packing.room, "token_docs", "size_limits"),
