@@ -160,21 +160,38 @@ def emission(merged: DataFrame, stored_total: int, start: tuple[int, int] = (0,
     A source that ends before the total is reached is an error; it is never replaced by the other.
     """
     cut = _cut(merged, stored_total, start)
-    ended = [r.src for r in exhausted(merged, cut, targets, start).collect()]  # two sources
+    ended, end = _ended(merged, cut, targets, start)
     if ended:
         raise RuntimeError(f"source {ended[0]} ended before the mixture was complete")
-    if (cut.agg(F.max(F.col("off") + F.col("stored"))).first()[0] or sum(start)) < stored_total:
+    if end < stored_total:
         raise RuntimeError("both sources ended before the mixture was complete")
     return cut.withColumn("n", F.least(F.col("stored"), F.lit(stored_total) - F.col("off")))
 
 
 def first_to_end(merged: DataFrame, stored_total: int) -> DataFrame:
     """(src) of the source whose turn came when it had no document left, before ``stored_total``; no row if the mixture is complete."""
-    cut = _cut(merged, stored_total, (0, 0))
-    r = merged.where("kept").agg(*[F.max(F.when(F.col("src") == s, F.col("after"))).alias(f"k{s}") for s in (0, 1)]).first()
-    turns = sorted(((r[f"k{s}"] or 0), s) for s in (0, 1))  # the keys at which each would draw what it hasn't
-    complete = (cut.agg(F.max(F.col("off") + F.col("stored"))).first()[0] or 0) >= stored_total and exhausted(merged, cut).isEmpty()
-    return merged.sparkSession.createDataFrame([] if complete else [(turns[0][1],)], "src int")
+    ended, end = _ended(merged, _cut(merged, stored_total, (0, 0)))
+    after = _after(merged)
+    turns = sorted((after.get(s, 0), s) for s in (0, 1))  # the keys at which each would draw what it hasn't
+    return merged.sparkSession.createDataFrame([] if end >= stored_total and not ended else [(turns[0][1],)], "src int")
+
+
+def _after(merged: DataFrame) -> dict[int, int]:
+    """The key each source goes on with behind its last document."""
+    return {r.src: r.key for r in merged.where("kept").groupBy("src").agg(F.max("after").alias("key")).collect()}  # two sources
+
+
+def _ended(merged: DataFrame, emitted: DataFrame, targets: tuple[int, int] | None = None, start: tuple[int, int] = (0, 0)) -> tuple[list[int], int]:
+    """Sources whose turn came when they had nothing left, and the ids stored behind the last document, uncut."""
+    last, end = emitted.agg(F.max(F.struct("key", "src")).alias("last"), F.max(F.col("off") + F.col("stored"))).first()
+    if last is None:
+        return [], sum(start)
+    begin = [0, 0]
+    if targets and sum(start):  # a source that has nothing more ended where the part before stopped
+        g = gcd(*targets)
+        begin = [max(start[0] - 1, 0) * targets[1] // g, start[1] * targets[0] // g]
+    after = _after(merged)
+    return [s for s in (0, 1) if (after.get(s, begin[s]), s) < (last.key, last.src)], end
 
 
 def exhausted(merged: DataFrame, emitted: DataFrame, targets: tuple[int, int] | None = None, start: tuple[int, int] = (0, 0)) -> DataFrame:
@@ -182,18 +199,7 @@ def exhausted(merged: DataFrame, emitted: DataFrame, targets: tuple[int, int] |
 
     The keys of ``merged`` are by its own targets; ``targets`` are only needed with a ``start``.
     """
-    last = emitted.agg(F.max(F.struct("key", "src")).alias("last")).first().last
-    both = merged.sparkSession.createDataFrame([(0,), (1,)], "src int")
-    if last is None:
-        return both.limit(0)
-    total = merged.where("kept").groupBy("src").agg(F.max("after").alias("key"))
-    end = both.join(F.broadcast(total), "src", "left")
-    begin = F.lit(0)
-    if targets and sum(start):  # a source that has nothing more ended where the part before stopped
-        g = gcd(*targets)
-        begin = _key(F.when(F.col("src") == 0, F.lit(start[0])).otherwise(F.lit(start[1])), (targets[1] // g, targets[0] // g))
-    end = end.withColumn("key", F.coalesce("key", begin))
-    return end.where((F.col("key") < last.key) | ((F.col("key") == last.key) & (F.col("src") < last.src))).select("src")
+    return merged.sparkSession.createDataFrame([(s,) for s in _ended(merged, emitted, targets, start)[0]], "src int")
 
 
 def state(emitted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -99,9 +99,9 @@ def _probing(index: DataFrame, width: int, shared_digests: int, filter_bytes: in
     """A probe for the documents, and the index that what it lets through must still be joined with, if any."""
     sc, fast = index.sparkSession.sparkContext, "quick" in index.columns
     known = index.select("value", *(["quick"] if fast else [])).where(F.octet_length("value") == 32)
-    few = known.limit(shared_digests + 1).collect()
-    if len(few) <= shared_digests:
-        exact = sc.broadcast((frozenset(bytes(r.value) for r in few), np.unique(np.array([r.quick for r in few], np.int64).view(np.uint64)) if fast and few else None))
+    few = known.limit(shared_digests + 1).toArrow()
+    if few.num_rows <= shared_digests:
+        exact = sc.broadcast((frozenset(few["value"].to_pylist()), np.unique(few["quick"].to_numpy().view(np.uint64)) if fast and few.num_rows else None))
 
         def whole() -> _Probe:
             values, quick = exact.value
