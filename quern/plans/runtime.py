@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +70,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_all(spark: SparkSession, parts: Iterable[DataFrame], schema: str, label: str) -> DataFrame:
+    """As ``materialize`` for rows that are made in several runs: each of ``parts`` is written before the next is asked for."""
+    path = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}-{label}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def _tables(spark: SparkSession) -> str:
     """How the names of this session's bucketed tables begin."""
     return "quern_" + re.sub(r"\W", "_", spark.sparkContext.applicationId) + "_"

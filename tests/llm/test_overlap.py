@@ -82,3 +82,24 @@ def test_nothing(spark):
     one_side = spark.createDataFrame([(1, " ".join(f"a{k}" for k in range(30)), "train", None, None, None, None), (None, "x", "test", None, None, None, None)], SCHEMA)
     assert overlap.found(one_side).collect() == []
     assert overlap.report(empty).collect() == []
+
+
+def test_matches_are_counted_where_they_are_made(spark, monkeypatch):
+    """Texts of few phrases match each other all over: no more than ids of classes and pairs are shuffled, and indexes and rounds of any size give the same pairs."""
+    r = random.Random(8)
+    phrases = [" ".join(f"p{k}w{j}" for j in range(6)) for k in range(12)]
+    rows = [(k, " ".join(r.sample(phrases, 6)), "train" if k % 2 else "test", "s", "x", 1, 2) for k in range(300)]
+    documents = spark.createDataFrame(rows, SCHEMA)
+
+    def stages():
+        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {x.stageId(): x.shuffleWriteRecords() for x in map(found.apply, range(found.size()))}
+
+    before = stages()
+    first = [tuple(x) for x in overlap.found(documents).collect()]
+    assert len(first) == len(set(first)) and set(first) == brute(rows)
+    assert sum(n for k, n in stages().items() if k not in before) < 300 * 20
+    monkeypatch.setattr(overlap, "BLOCK_GRAMS", 1000)
+    monkeypatch.setattr(overlap, "MATCHES", 50)
+    assert sorted(map(tuple, overlap.found(documents).collect())) == sorted(first)
