@@ -34,19 +34,29 @@ ROUNDS = 500
 MOST_CELLS = 20_000
 
 
-def _measures(folder: str, shared):
-    """(doc_id, text, ...) batches -> the same without text, with n_tokens and, by the model if there is one, the topic."""
+def _measures(folder: str, vectors: bool):
+    """(doc_id, text, ...) batches -> the same without text, with n_tokens and, if asked for, the vector of which topics are made."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, model = topics.Reader(folder), shared and shared.value
+        reader = topics.Reader(folder)
         for b in batches:
-            at, lang = b.schema.get_field_index("text"), b.column(b.schema.get_field_index("lang")).to_pylist()
+            at = b.schema.get_field_index("text")
             both = [reader.read(t) for t in b.column(at).to_pylist()]
             rest = [k for k in range(b.num_columns) if k != at]
-            out = [*(b.column(k) for k in rest), pa.array([n for n, _ in both], pa.int64())]
-            if model:
-                out.append(pa.array([model.topic(x, v) for x, (_, v) in zip(lang, both)], pa.string()))
-            yield pa.RecordBatch.from_arrays(out, names=[*(b.schema.names[k] for k in rest), "n_tokens", *(["topic"] if model else [])])
+            out = [*(b.column(k) for k in rest), pa.array([n for n, _ in both], pa.int64()), *([pa.array([v for _, v in both], pa.binary())] if vectors else [])]
+            yield pa.RecordBatch.from_arrays(out, names=[*(b.schema.names[k] for k in rest), "n_tokens", *(["vector"] if vectors else [])])
+
+    return run
+
+
+def _with_topics(shared):
+    """(..., vector) batches -> the same with the topic instead."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs = b.column(b.schema.get_field_index("lang")).to_numpy(zero_copy_only=False)
+            found = shared.value.topics(langs, topics.matrix(b.column(b.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([f"{x}-{k}" for x, k in zip(langs, found.tolist())], pa.string())], names=[*b.schema.names[:-1], "topic"])
 
     return run
 
@@ -56,9 +66,12 @@ def measured(documents: DataFrame, folder: str = tokens.TOKENIZERS, topic_col: s
     lang = F.lower(F.trim("lang"))
     given = [F.coalesce(F.col(topic_col).cast("string"), F.lit("")).alias("topic")] if topic_col else []
     own = spread(documents, "doc_id").select("doc_id", "text", F.lower(F.regexp_replace("source", r"(?U)^\s+|\s+$", "")).alias("source"), F.when(lang.isin(*LANGUAGES), lang).otherwise("und").alias("lang"), F.pmod(F.xxhash64(F.lit("quern-mix"), "doc_id"), F.lit(STEPS)).cast("int").alias("step"), *given)
-    shared = None if topic_col else documents.sparkSession.sparkContext.broadcast(topics.fit(own, folder))
-    schema = T.StructType([*own.drop("text").schema, T.StructField("n_tokens", T.LongType()), *([] if topic_col else [T.StructField("topic", T.StringType())])])
-    return own.mapInArrow(_measures(folder, shared), schema)
+    schema = [*own.drop("text").schema, T.StructField("n_tokens", T.LongType())]
+    if topic_col:
+        return own.mapInArrow(_measures(folder, False), T.StructType(schema))
+    vectors = materialize(own.mapInArrow(_measures(folder, True), T.StructType([*schema, T.StructField("vector", T.BinaryType())])), "p8-vectors")
+    shared = documents.sparkSession.sparkContext.broadcast(topics.fit(vectors))
+    return vectors.mapInArrow(_with_topics(shared), T.StructType([*schema, T.StructField("topic", T.StringType())]))
 
 
 def _fill(q: np.ndarray, size: np.ndarray, cap: float, target: float) -> np.ndarray:

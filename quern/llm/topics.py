@@ -1,26 +1,29 @@
 """Topics learned from the texts themselves, for problem 8: clusters of word frequencies, within each language.
 
-The centres are fitted on a bounded sample, chosen by a hash of the document's number: about ``FIT_DOCUMENTS`` documents of
-the whole table, of which only vectors of ``DIMENSIONS`` numbers leave the tasks. Every document is then given the nearest
-centre of its language, from all of its words. The same documents give the same centres on any layout.
+The centres are fitted on all documents: each is a vector of ``DIMENSIONS`` levels, written once; weights, first centres and every
+round of the fit are a pass over these vectors, from which only sums by language and topic leave the tasks. Every document is then given the
+nearest centre of its language. All sums and products are of whole numbers that a float holds exactly, so the same documents give
+the same centres on any layout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quern.llm import tokens
 
-#: Documents that the centres are fitted on, about; a language with fewer than ``LEAST`` of them has one topic.
-FIT_DOCUMENTS, LEAST = 8_000, 100
+#: A language with fewer than ``LEAST`` documents that have words has one topic.
+LEAST = 100
 TOPICS, DIMENSIONS, ROUNDS = 4, 512, 25
-_STEPS = 1 << 31
+#: Steps of a place's level for one of log(1 + count), of its weight, and of a unit vector; documents that are worked on at once.
+_LEVELS, _WEIGHTS, _ONE, _ROWS = 16, 256, 1 << 20, 1024
+#: Most tasks whose sums the driver adds up itself.
+_PARTS = 64
 
 
 class WordCells(dict):
@@ -40,20 +43,27 @@ class WordCells(dict):
 
 
 class Reader:
-    """Tokens and word vector of one text after another."""
+    """Tokens and levels of one text after another."""
 
     def __init__(self, folder: str) -> None:
         encoder = tokens.encoder(folder)
         self._split, self._get = encoder.split, WordCells(encoder).__getitem__
 
-    def read(self, text: str | None) -> tuple[int, np.ndarray]:
+    def read(self, text: str | None) -> tuple[int, bytes]:
         words = self._split(text) if text else []
         cells = np.fromiter(map(self._get, words), np.int64, len(words))
-        return int((cells >> 16).sum()), np.log1p(np.bincount(cells & 0xFFFF, minlength=DIMENSIONS)).astype(np.float32)
+        # 255 is the level of eight million words of one place
+        levels = np.minimum(np.rint(np.log1p(np.bincount(cells & 0xFFFF, minlength=DIMENSIONS)) * _LEVELS), 255)
+        return int((cells >> 16).sum()), levels.astype(np.uint8).tobytes()
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    """Rows of whole numbers -> the same of length ``_ONE``, in whole numbers."""
+    return np.rint(x * (_ONE / np.maximum(np.sqrt((x * x).sum(axis=-1, keepdims=True)), 1)))
 
 
 class Model:
@@ -62,36 +72,118 @@ class Model:
     def __init__(self, weights: np.ndarray, centres: dict[str, np.ndarray]) -> None:
         self.weights, self.centres = weights, centres
 
-    def topic(self, lang: str, vector: np.ndarray) -> str:
-        own = self.centres.get(lang)
-        return f"{lang}-{int(np.argmax(own @ (vector * self.weights))) if own is not None else 0}"
+    def likeness(self, lang: str, levels: np.ndarray) -> np.ndarray:
+        return _unit(levels * self.weights) @ self.centres[lang].T
 
+    def topics(self, langs: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(langs), np.int64)
+        for k in range(0, len(langs), _ROWS):
+            own = langs[k : k + _ROWS]
+            for lang in set(own.tolist()) & self.centres.keys():
+                at = k + np.flatnonzero(own == lang)
+                out[at] = np.argmax(self.likeness(lang, levels[at]), axis=1)
+        return out
 
-def cluster(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Centres of unit vectors by cosine: each first centre is the vector least like those before."""
-    at = [int(np.argmax(x @ x.mean(axis=0)))]
-    while len(at) < k:
-        at.append(int(np.argmin((x @ x[at].T).max(axis=1))))
-    centres = x[at]
-    for _ in range(rounds):
-        own = np.argmax(x @ centres.T, axis=1)
-        centres = _unit(np.stack([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(k)]))
-    return centres
 
+_Part = tuple[int, np.ndarray]
+
+
+def _folded(vectors: DataFrame, fold: Callable[[str, np.ndarray], Iterable[tuple[int, _Part]]], merge: Callable[[_Part, _Part], _Part], kind: type) -> dict[str, dict[int, _Part]]:
+    """Parts of every language's documents that have words, merged: language -> number of the part -> (whole number, array of ``kind``)."""
+    schema = "lang string, part int, n bigint, data binary"
+
+    def add(held: dict, key: tuple[str, int], x: _Part) -> None:
+        held[key] = merge(held[key], x) if key in held else x
 
-def fit(texts: DataFrame, folder: str, documents: int = FIT_DOCUMENTS, topics: int = TOPICS) -> Model:
-    """(doc_id, lang, text) -> the model."""
-    share = min(1.0, documents / max(1, texts.count()))
-    sampled = texts.where((F.length("text") > 0) & (F.pmod(F.xxhash64(F.lit("quern-topic"), "doc_id"), F.lit(_STEPS)) <= int(share * (_STEPS - 1)))).select("doc_id", "lang", "text")
+    def sent(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()), pa.array([int(n) for n, _ in held.values()], pa.int64()), pa.array([x.tobytes() for _, x in held.values()], pa.binary())], names=["lang", "part", "n", "data"])
 
-    def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(folder)
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([reader.read(t)[1].tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "lang", "vector"])
-
-    rows = sorted(((r.lang, r.doc_id, bytes(r.vector)) for r in sampled.mapInArrow(vectors, "doc_id bigint, lang string, vector binary").collect()), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
-    x = np.frombuffer(b"".join(v for *_, v in rows), np.float32).reshape(-1, DIMENSIONS)
-    weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32)
-    langs = np.array([r[0] for r in rows])
-    centres = {lang: cluster(_unit(x[langs == lang] * weights), topics) for lang in sorted(set(langs.tolist())) if (langs == lang).sum() >= LEAST}
-    return Model(weights, centres)
+            langs, levels = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1))
+            there = np.flatnonzero(levels.any(axis=1))
+            for k in range(0, len(there), _ROWS):
+                at = there[k : k + _ROWS]
+                for lang in sorted(set(langs[at].tolist())):
+                    for part, x in fold(lang, levels[at[langs[at] == lang]]):
+                        add(held, (lang, part), x)
+        if held:
+            yield sent(held)
+
+    def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            for lang, part, n, data in zip(*(c.to_pylist() for c in b.columns)):
+                add(held, (lang, part), (n, np.frombuffer(data, kind)))
+        if held:
+            yield sent(held)
+
+    parts = vectors.select("lang", "vector").mapInArrow(partial, schema)
+    if vectors.rdd.getNumPartitions() > _PARTS:
+        parts = parts.repartition(8, "lang", "part").mapInArrow(again, schema)
+    held: dict = {}
+    for r in parts.collect():  # one row a language and topic, of few tasks
+        add(held, (r.lang, r.part), (r.n, np.frombuffer(bytes(r.data), kind)))
+    out: dict[str, dict[int, _Part]] = {}
+    for (lang, part), x in held.items():
+        out.setdefault(lang, {})[part] = x
+    return out
+
+
+def _plus(a: _Part, b: _Part) -> _Part:
+    return a[0] + b[0], a[1] + b[1]
+
+
+def _least(a: _Part, b: _Part) -> _Part:
+    return min(a, b, key=lambda x: (x[0], x[1].tobytes()))
+
+
+def _cluster(vectors: DataFrame, model: Model, langs: list[str], k: int, rounds: int) -> dict[str, np.ndarray]:
+    """Centres by cosine: the first is the vector most like the mean, each further first one that least like those before."""
+
+    def own(centres: dict[str, np.ndarray]) -> Callable:
+        now = Model(model.weights, centres)
+
+        def fold(lang: str, levels: np.ndarray) -> Iterator[tuple[int, _Part]]:
+            if lang in langs:
+                x = _unit(levels * now.weights)
+                at = np.argmax(x @ centres[lang].T, axis=1) if centres else np.zeros(len(x), np.int64)
+                for j in np.unique(at).tolist():
+                    yield j, (int((at == j).sum()), x[at == j].sum(axis=0).astype(np.int64))
+
+        return fold
+
+    def first(centres: dict[str, np.ndarray], sign: int) -> Callable:
+        now = Model(model.weights, centres)
+
+        def fold(lang: str, levels: np.ndarray) -> Iterator[tuple[int, _Part]]:
+            if lang in langs:
+                score = sign * now.likeness(lang, levels).max(axis=1)
+                least = levels[score == score.min()]
+                yield 0, (int(score.min()), least[np.lexsort(least.T[::-1])[0]])
+
+        return fold
+
+    if not langs:
+        return {}
+    means = {lang: _unit(x[0][1].astype(np.float64)[None]) for lang, x in _folded(vectors, own({}), _plus, np.int64).items()}
+    vector = lambda levels: _unit(levels[None] * model.weights)
+    centres = {lang: vector(x[0][1]) for lang, x in _folded(vectors, first(means, -1), _least, np.uint8).items()}
+    while len(centres[langs[0]]) < k:
+        centres = {lang: np.concatenate([centres[lang], vector(x[0][1])]) for lang, x in _folded(vectors, first(centres, 1), _least, np.uint8).items()}
+    for _ in range(rounds):
+        sums = _folded(vectors, own(centres), _plus, np.int64)
+        before, centres = centres, {lang: np.concatenate([_unit(sums[lang][j][1].astype(np.float64)[None]) if j in sums[lang] else c[j : j + 1] for j in range(k)]) for lang, c in centres.items()}
+        if all((before[lang] == centres[lang]).all() for lang in langs):
+            break
+    return centres
+
+
+def fit(vectors: DataFrame, topics: int = TOPICS, rounds: int = ROUNDS) -> Model:
+    """(lang, vector) of all documents, which is read again for every pass -> the model."""
+    counts = _folded(vectors, lambda lang, levels: [(0, (len(levels), (levels > 0).sum(axis=0, dtype=np.int64)))], _plus, np.int64)
+    there, having = sum(x[0][0] for x in counts.values()), sum((x[0][1] for x in counts.values()), np.zeros(DIMENSIONS, np.int64))
+    model = Model(np.rint(np.log((1 + there) / (1 + having)) * _WEIGHTS), {})
+    langs = sorted(lang for lang, x in counts.items() if x[0][0] >= LEAST)
+    return Model(model.weights, _cluster(vectors, model, langs, topics, rounds))

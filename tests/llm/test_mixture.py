@@ -114,6 +114,15 @@ def test_topics_are_learned_from_words_and_the_same_on_every_layout(spark):
     assert {one[k] for k in (1000, 1001)} == {("de-0", 0)}
 
 
+def test_topics_are_those_of_all_documents(spark):
+    """Of 10,000 documents only 12 are of the fourth kind, of a hash that a choice of 8,000 would leave out: they have a topic of their own."""
+    late = {x.id for x in spark.range(10_000).where("pmod(xxhash64('quern-topic', id), 2147483648) > 1900000000").limit(12).collect()}
+    docs = [(k, f"{c}1 {c}2 {c}3 {c}{k % 5 + 4}", "a", "en", 1, 1, 0.0) for k in range(10_000) for c in ["s" if k in late else "pqr"[k % 3]]]
+    got = {x.doc_id: x.topic for x in mixture.measured(spark.createDataFrame(docs, DOCS)).collect()}
+    own = {got[k] for k in late}
+    assert len(late) == 12 and len(own) == 1 and not own & {got[k] for k in range(10_000) if k not in late}
+
+
 def test_nothing(spark):
     docs, targets = tables(5)
     empty = spark.createDataFrame([], DOCS)
