@@ -141,3 +141,12 @@ def test_raking_meets_sources_exactly_and_languages_as_far_as_caps_allow():
     used = q * size
     assert total == 200 and np.allclose([used[:2].sum(), used[2:].sum()], 100)
     assert mixture.rake(cells, size, {"z": 1.0}, {"z": 1})[1] == 0
+
+
+def test_sums_of_many_tasks_are_merged_by_tasks(spark, monkeypatch):
+    r = random.Random(8)
+    docs = [(k, " ".join(r.choices([f"{'pqrs'[k % 4]}{j}" for j in range(20)], k=20)), "a", "en", 1, 1, 0.0) for k in range(400)]
+    own = lambda: {x.doc_id: x.topic for x in mixture.measured(spark.createDataFrame(docs, DOCS)).collect()}
+    one = own()
+    monkeypatch.setattr(mixture.topics, "_PARTS", 0)
+    assert own() == one
